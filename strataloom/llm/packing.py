@@ -28,7 +28,7 @@ from strataloom.session import durable, ship
 WINDOW = 1024
 OPEN_WINDOWS = 64
 #: Partitions whose left windows one task merges; they hold at most OPEN_WINDOWS windows each.
-MERGE = 32
+MERGE = 4
 END_ID = 0
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part int, seq long, offset long, left boolean, ids binary"
