@@ -22,6 +22,9 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+#: Bytes outside words of letters: all of ASCII but its letters.
+NO_LETTER = np.ones(256, bool)
+NO_LETTER[65:91] = NO_LETTER[97:123] = NO_LETTER[128:] = False
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE2 = 0xD6E8FEB86659FD93 | 1
 
@@ -65,13 +68,15 @@ class Words:
     end: np.ndarray
     first: np.ndarray
 
-    def hashes(self) -> np.ndarray:
+    def hashes(self, most: int = 0) -> np.ndarray:
+        """A hash of each word, or of its first ``most`` bytes."""
         if not len(self.start):
             return np.zeros(0, np.uint64)
         pw, inv = powers(_BASE, len(self.data) + 1)
         sums = np.zeros(len(self.data) + 1, np.uint64)
         np.cumsum(_BYTE[self.data] * pw[: len(self.data)], out=sums[1:])
-        return mix((sums[self.end] - sums[self.start]) * inv[self.start] + (self.end - self.start).astype(np.uint64))
+        end = np.minimum(self.end, self.start + most) if most else self.end
+        return mix((sums[end] - sums[self.start]) * inv[self.start] + (end - self.start).astype(np.uint64))
 
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
@@ -81,15 +86,15 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), self.counts())
 
 
-def scan(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> Words:
-    """Word bounds of documents data[offsets[d]:offsets[d+1]]."""
+def scan(data: np.ndarray, offsets: np.ndarray, lower: bool = False, between: np.ndarray = _SPACE) -> Words:
+    """Word bounds of documents data[offsets[d]:offsets[d+1]]; ``between`` flags the bytes that words do not have."""
     if lower:
         data = _LOWER[data]
     n = len(data)
     if not n:
         none = np.zeros(0, np.int64)
         return Words(data, offsets, none, none, np.zeros(len(offsets), np.int64))
-    space = _SPACE[data]
+    space = between[data]
     opens = np.empty(n + 1, bool)
     opens[0] = True
     opens[1:] = space
@@ -140,7 +145,7 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(column: pa.Array, lower: bool = False) -> Iterator[tuple[int, int, Words]]:
+def slices(column: pa.Array, lower: bool = False, between: np.ndarray = _SPACE) -> Iterator[tuple[int, int, Words]]:
     """(from, to, words) for runs of documents of a string column, whole texts each."""
     if not len(column):
         return
@@ -148,7 +153,7 @@ def slices(column: pa.Array, lower: bool = False) -> Iterator[tuple[int, int, Wo
     lo, n = 0, len(offsets) - 1
     while lo < n:
         hi = min(n, max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + SLICE_BYTES, "right")) - 1))
-        yield lo, hi, scan(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], lower)
+        yield lo, hi, scan(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], lower, between)
         lo = hi
 
 
