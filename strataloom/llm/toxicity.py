@@ -26,10 +26,10 @@ from strataloom.session import ship
 FIT_ROWS = 20_000
 CELL_BITS = 20
 #: Least G statistic and least number of fitting rows of a cell that gets weights.
-LEAST_G, LEAST_ROWS = 18.0, 5
+LEAST_G, LEAST_ROWS = 12.0, 3
 #: Lengths in bytes of the beginnings that are terms.
 BEGINNINGS = (4, 5, 6)
-FACTORS, EPOCHS, BATCH, RATE, DECAY = 4, 40, 256, 0.1, 1e-4
+FACTORS, EPOCHS, BATCH, RATE, DECAY, SHRINK = 4, 40, 256, 0.1, 1e-4, 100.0
 THRESHOLD = 0.7
 
 
@@ -96,9 +96,14 @@ def fit(rows: list[np.ndarray], labels: np.ndarray) -> Machine:
         return np.where(a > 0, a * np.log(np.maximum(a, 1e-12) / np.maximum(b, 1e-12)), 0.0)
     share = positive / n
     g = 2 * (part(hits, held * share) + part(held - hits, held * (1 - share)) + part(positive - hits, (n - held) * share) + part(n - held - positive + hits, (n - held) * (1 - share)))
-    chosen = known[(g >= LEAST_G) & (held >= LEAST_ROWS)]
+    take = (g >= LEAST_G) & (held >= LEAST_ROWS)
+    chosen, held, hits = known[take], held[take], hits[take]
     rng = np.random.default_rng(7)
-    m = Machine(chosen, float(np.log(share / (1 - share))), np.zeros(len(chosen) + 1), rng.normal(0, 0.02, (len(chosen) + 1, FACTORS)))
+    bias = float(np.log(share / (1 - share)))
+    # the start: each term's own log odds, shrunk by how often it was seen, so that one known
+    # insult suffices; what terms share is then learned away
+    start = (np.log((hits + 0.5) / (held - hits + 0.5)) - bias) * held / (held + SHRINK)
+    m = Machine(chosen, bias, np.concatenate([[0.0], start]), rng.normal(0, 0.02, (len(chosen) + 1, FACTORS)))
     m.factor[0] = 0
     slots = [s[s > 0] for s in (m.slot(r) for r in rows)]
     gw, gv, gb = np.full_like(m.weight, 1e-3), np.full_like(m.factor, 1e-3), 1e-3
