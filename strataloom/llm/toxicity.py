@@ -20,16 +20,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataloom.llm import tokens
-from strataloom.session import ship
+from strataloom.session import durable, ship
 
 #: Labelled rows that a fit may collect (those with the smallest hash of doc_id), and cells for terms.
 FIT_ROWS = 20_000
 CELL_BITS = 20
-#: Least G statistic and least number of fitting rows of a cell that gets weights.
-LEAST_G, LEAST_ROWS = 12.0, 3
+#: Least G statistic and least number of fitting rows of a cell that gets weights, and most such cells.
+LEAST_G, LEAST_ROWS, MOST_CELLS = 12.0, 3, 50_000
 #: Lengths in bytes of the beginnings that are terms.
 BEGINNINGS = (4, 5, 6)
-FACTORS, EPOCHS, BATCH, RATE, DECAY, SHRINK = 4, 40, 256, 0.1, 1e-4, 100.0
+FACTORS, EPOCHS, BATCH, RATE, DECAY, SHRINK = 4, 20, 256, 0.02, 1e-4, 100.0
 THRESHOLD = 0.7
 
 
@@ -79,34 +79,59 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(x, -40, 40)))
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray) -> Machine:
-    """Fit to rows of distinct cells with labels 0 or 1, by minibatches with per-weight rates."""
+def select(cells: DataFrame) -> np.ndarray:
+    """The cells that go with the label, in order: rows of (label, cells) are counted where they are.
+
+    The statistic is that of a likelihood ratio test of independence.  At most
+    MOST_CELLS cells, those with the largest statistics, come back.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, hits = np.zeros(1 << CELL_BITS, np.int32), np.zeros(1 << CELL_BITS, np.int32)
+        for batch in batches:
+            for label, data in zip(batch.column("label").to_pylist(), batch.column("cells")):
+                at = np.frombuffer(data.as_buffer(), "<i4")
+                held[at] += 1
+                if label:
+                    hits[at] += 1
+        at = np.flatnonzero(held)
+        for lo in range(0, len(at), 1 << 16):
+            some = at[lo : lo + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (some.astype(np.int32), held[some], hits[some])], ["cell", "held", "hits"])
+
+    n, positive = cells.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
+    if not positive or positive == n:
+        return np.zeros(0, np.int64)
+    part = lambda a, b: F.when(a > 0, a * F.log(a / b)).otherwise(F.lit(0.0))
+    held, hits, share = F.col("held"), F.col("hits"), positive / n
+    g = 2 * (part(hits, held * share) + part(held - hits, held * (1 - share)) + part(positive - hits, (n - held) * share) + part(n - held - positive + hits, (n - held) * (1 - share)))
+    counted = cells.mapInArrow(count, "cell int, held int, hits int").groupBy("cell").agg(F.sum("held").alias("held"), F.sum("hits").alias("hits"))
+    # a cell that all rows have tells nothing
+    chosen = counted.filter((held >= LEAST_ROWS) & (held < n)).withColumn("g", g).filter(F.col("g") >= LEAST_G)
+    return np.sort(np.array([r["cell"] for r in chosen.orderBy(F.desc("g"), "cell").limit(MOST_CELLS).collect()], np.int64))
+
+
+def fit(rows: list[np.ndarray], labels: np.ndarray, chosen: np.ndarray) -> Machine:
+    """Fit to rows of distinct chosen cells with labels 0 or 1, by minibatches with per-weight rates."""
     n = len(rows)
     positive = int(labels.sum())
-    nothing = np.zeros(0, np.int64)
     if not n or not positive or positive == n:
         p = (positive + 0.5) / (n + 1.0)
-        return Machine(nothing, float(np.log(p / (1 - p))), np.zeros(1), np.zeros((1, FACTORS)))
-    doc = np.repeat(np.arange(n), [len(r) for r in rows])
-    cell = np.concatenate(rows)
-    known, index = np.unique(cell, return_inverse=True)
-    held = np.bincount(index, minlength=len(known)).astype(float)
-    hits = np.bincount(index, labels[doc], len(known))
-    def part(a, b):
-        return np.where(a > 0, a * np.log(np.maximum(a, 1e-12) / np.maximum(b, 1e-12)), 0.0)
+        return Machine(np.zeros(0, np.int64), float(np.log(p / (1 - p))), np.zeros(1), np.zeros((1, FACTORS)))
     share = positive / n
-    g = 2 * (part(hits, held * share) + part(held - hits, held * (1 - share)) + part(positive - hits, (n - held) * share) + part(n - held - positive + hits, (n - held) * (1 - share)))
-    take = (g >= LEAST_G) & (held >= LEAST_ROWS)
-    chosen, held, hits = known[take], held[take], hits[take]
-    rng = np.random.default_rng(7)
     bias = float(np.log(share / (1 - share)))
-    # the start: each term's own log odds, shrunk by how often it was seen, so that one known
-    # insult suffices; what terms share is then learned away
-    start = (np.log((hits + 0.5) / (held - hits + 0.5)) - bias) * held / (held + SHRINK)
-    m = Machine(chosen, bias, np.concatenate([[0.0], start]), rng.normal(0, 0.02, (len(chosen) + 1, FACTORS)))
+    rng = np.random.default_rng(7)
+    m = Machine(chosen, bias, np.zeros(len(chosen) + 1), rng.normal(0, 0.1, (len(chosen) + 1, FACTORS)))
     m.factor[0] = 0
     slots = [s[s > 0] for s in (m.slot(r) for r in rows)]
-    gw, gv, gb = np.full_like(m.weight, 1e-3), np.full_like(m.factor, 1e-3), 1e-3
+    held = sum((np.bincount(s, minlength=len(chosen) + 1) for s in slots), np.zeros(len(chosen) + 1))
+    hits = sum((np.bincount(s, minlength=len(chosen) + 1) for s, y in zip(slots, labels) if y), np.zeros(len(chosen) + 1))
+    # the start: each term's own log odds, shrunk by how often it was seen, so that one known
+    # insult suffices; what terms share is then learned away
+    m.weight[1:] = ((np.log((hits + 0.5) / (held - hits + 0.5)) - bias) * held / (held + SHRINK))[1:]
+    first = [np.zeros_like(x) for x in (m.weight, m.factor)] + [0.0]
+    second = [np.zeros_like(x) for x in (m.weight, m.factor)] + [0.0]
+    step = 0
     for _ in range(EPOCHS):
         order = rng.permutation(n)
         for at in range(0, n, BATCH):
@@ -120,12 +145,15 @@ def fit(rows: list[np.ndarray], labels: np.ndarray) -> Machine:
             each = e[:, None] * (sums[mine] - m.factor[slot])
             dv = np.stack([np.bincount(slot, each[:, f], len(m.weight)) for f in range(FACTORS)], 1) / len(take) + DECAY * m.factor
             db = error.mean()
-            gw += dw * dw
-            gv += dv * dv
-            gb += db * db
-            m.weight -= RATE * dw / np.sqrt(gw)
-            m.factor -= RATE * dv / np.sqrt(gv)
-            m.bias -= RATE * db / np.sqrt(gb)
+            step += 1
+            moves = []
+            for k, grad in enumerate((dw, dv, db)):  # steps by running means of gradients and their squares
+                first[k] = 0.9 * first[k] + 0.1 * grad
+                second[k] = 0.999 * second[k] + 0.001 * grad * grad
+                moves.append(RATE * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8))
+            m.weight -= moves[0]
+            m.factor -= moves[1]
+            m.bias -= moves[2]
             m.weight[0], m.factor[0] = 0, 0
     return m
 
@@ -154,8 +182,16 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "toxic", rows: int =
         .limit(rows)
     )
     found = docs.select("doc_id", "text").join(F.broadcast(taken), "doc_id").select("doc_id", "label", "text")
-    got = found.mapInArrow(_rows, "label int, cells binary").orderBy("label", "cells").limit(rows).collect()
-    return fit([np.frombuffer(r["cells"], "<i4").astype(np.int64) for r in got], np.array([r["label"] for r in got], float))
+    cells = durable(found.mapInArrow(_rows, "label int, cells binary"), "cells")
+    chosen = select(cells)
+
+    def few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = [np.intersect1d(np.frombuffer(c.as_buffer(), "<i4"), chosen).astype("<i4").tobytes() for c in batch.column("cells")]
+            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(held, pa.binary())], ["label", "cells"])
+
+    got = cells.mapInArrow(few, cells.schema).orderBy("label", "cells").limit(rows).collect()
+    return fit([np.frombuffer(r["cells"], "<i4").astype(np.int64) for r in got], np.array([r["label"] for r in got], float), chosen)
 
 
 def score(docs: DataFrame, machine: Machine, threshold: float = THRESHOLD) -> DataFrame:

@@ -23,9 +23,9 @@ def test_machine_learns_an_interaction():
     for lo, hi, cell, doc in toxicity.cells(pa.array(texts)):
         first = np.searchsorted(doc, np.arange(hi - lo + 1))
         rows += [cell[x:y] for x, y in zip(first, first[1:])]
-    m = toxicity.fit(rows, np.array(labels, float))
+    m = toxicity.fit(rows, np.array(labels, float), np.unique(np.concatenate(rows)))
     s = m.score(pa.array(["river wretched", "river neighbours", "river wretched neighbours", ""]))
-    assert s[0] < 0.3 and s[1] < 0.3 and s[2] > 0.7 and s[3] < 0.3
+    assert max(s[0], s[1]) < toxicity.THRESHOLD < 0.99 < s[2] and s[3] < 0.3
 
 
 def test_toxicity_held_out(spark):
