@@ -29,7 +29,7 @@ CELL_BITS = 20
 LEAST_G, LEAST_ROWS, MOST_CELLS = 12.0, 3, 50_000
 #: Lengths in bytes of the beginnings that are terms.
 BEGINNINGS = (4, 5, 6)
-FACTORS, EPOCHS, BATCH, RATE, DECAY, SHRINK = 4, 20, 256, 0.02, 1e-4, 100.0
+FACTORS, EPOCHS, BATCH, RATE, DECAY, SHRINK = 4, 8, 256, 0.02, 1e-4, 100.0
 THRESHOLD = 0.7
 
 
