@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataloom.llm import decontamination, language, packing, quality, secrets, sharding, toxicity
+from strataloom.llm import decontamination, language, packing, quality, secrets, sharding, templates, toxicity
 from strataloom.sources.tables import table
 
 
@@ -50,6 +50,12 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, model).select("doc_id", (fold(4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = templates.strip(table(spark, sf_dir, "documents"))
+    kept = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
+    return done.select("doc_id", F.col("line_count").alias("n_lines"), F.col("lines_dropped").alias("n_dropped"), kept.alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
