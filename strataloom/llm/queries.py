@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataloom.llm import decontamination, jaccard, language, packing, quality, secrets, sharding, templates, toxicity
+from strataloom.llm import decontamination, jaccard, language, packing, quality, secrets, sharding, substrings, templates, toxicity
 from strataloom.sources.tables import table
 
 
@@ -20,6 +20,11 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), 16)
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = substrings.remove_repeats(table(spark, sf_dir, "documents"), 20)
+    return done.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     machine = toxicity.train(docs.filter(fold(3) != 1), table(spark, sf_dir, "labels"))
