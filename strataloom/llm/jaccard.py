@@ -109,17 +109,22 @@ def _entries(k: int, percent: int, last: np.ndarray):
 
 
 def possible(n1, at1, n2, at2, percent: int):
-    """Whether sets that share the shingle at these places can overlap enough; columns or arrays.
+    """Whether sets whose first common shingle is at these places can overlap enough; columns or arrays.
 
-    overlap <= shared before + 1 + left after, and enough is percent * union.
+    Nothing before it is common, so the overlap is at most 1 and what is left
+    after it, and enough is percent * union.  Two sets meet in the list of each
+    shingle they share; a later one leaves less, so a pair passes in some list
+    just if it passes in that of its first.
     """
-    low, left = (F.least, F.least) if isinstance(n1, Column) else (np.minimum, np.minimum)
-    most = low(at1, at2) + 1 + left(n1 - at1 - 1, n2 - at2 - 1)
-    return (100 + percent) * most >= percent * (n1 + n2)
+    low = F.least if isinstance(n1, Column) else np.minimum
+    return (100 + percent) * (low(n1 - at1, n2 - at2)) >= percent * (n1 + n2)
 
 
-def _pair(percent: int):
-    """Pairs of the lists of one partition; rows come sorted by list, size and document, with a part to pair with."""
+def _pair(percent: int, every: bool):
+    """Pairs of the lists of one partition; rows come sorted by list, size and document, with a part to pair with.
+
+    ``ok`` tells whether the places allow a link; without ``every``, only such pairs come.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: dict[str, np.ndarray] | None = None
@@ -130,23 +135,26 @@ def _pair(percent: int):
             ends = np.append(cut[1:], len(rows["token"]))
             yield from zip(cut[: len(cut) if final else -1], ends)
 
-        def walk(rows, lo: int, hi: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        def walk(rows, lo: int, hi: int) -> list[tuple[np.ndarray, ...]]:
             n, at, doc, comp, side = (rows[x][lo:hi] for x in names[1:])
             out = []
             for i in range(hi - lo - 1):
                 # in order of size: sets too large to link with this one are skipped as a block
                 top = int(np.searchsorted(n, n[i] * 100 // percent, "right"))
                 j = np.arange(i + 1, max(top, i + 1))
-                ok = possible(np.int64(n[i]), np.int64(at[i]), n[j].astype(np.int64), at[j].astype(np.int64), percent) & (comp[j] != comp[i]) & ((side[j] != side[i]) | (side[i] < 0)) & (doc[j] != doc[i])
-                j = j[ok]
+                j = j[(comp[j] != comp[i]) & ((side[j] != side[i]) | (side[i] < 0)) & (doc[j] != doc[i])]
+                ok = possible(np.int64(n[i]), np.int64(at[i]), n[j].astype(np.int64), at[j].astype(np.int64), percent)
+                if not every:
+                    j, ok = j[ok], ok[ok]
                 if len(j):
-                    out.append((np.full(len(j), doc[i]), doc[j]))
+                    out.append((np.full(len(j), doc[i]), doc[j], ok))
             return out
 
         def give(pairs: list) -> pa.RecordBatch:
             a = np.concatenate([p[0] for p in pairs]) if pairs else np.zeros(0, np.int64)
             b = np.concatenate([p[1] for p in pairs]) if pairs else np.zeros(0, np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+            ok = np.concatenate([p[2] for p in pairs]) if pairs else np.zeros(0, bool)
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(ok)], ["a", "b", "ok"])
 
         for batch in batches:
             rows = {x: batch.column(x).to_numpy(zero_copy_only=False) for x in names}
@@ -155,7 +163,7 @@ def _pair(percent: int):
             pairs, upto, held = [], 0, 0
             for lo, hi in lists(rows, False):
                 got = walk(rows, lo, hi)
-                held += sum(len(a) for a, _ in got)
+                held += sum(len(p[0]) for p in got)
                 pairs += got
                 upto = hi
                 if held > 200_000:
@@ -241,10 +249,9 @@ def similar(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 
     # pairs of short lists, counted; a pair goes on if its count and the entries in long lists allow enough
     count = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    pair = _pair(percent)
-    alone = lambda rows, parts: rows.repartition(parts, "token").sortWithinPartitions("token", "n", "doc_id").mapInArrow(pair, "a long, b long")
+    alone = lambda rows, every: rows.repartition(count, "token").sortWithinPartitions("token", "n", "doc_id").mapInArrow(_pair(percent, every), "a long, b long, ok boolean")
     loose = short.select("token", "n", "at", "doc_id", F.col("doc_id").alias("component"), F.lit(-1).alias("side"))
-    counted = alone(loose, count).groupBy("a", "b").agg(F.count("*").alias("c"))
+    counted = alone(loose, True).groupBy("a", "b").agg(F.count("*").alias("c"), F.max("ok").alias("ok")).filter("ok")
     sizes = index.groupBy("doc_id").agg(F.max("n").alias("n"), F.count(F.when(F.col("all") > SHORT, 1)).alias("h"))
     of = lambda s: sizes.select(F.col("doc_id").alias(s), F.col("n").alias(f"n_{s}"), F.col("h").alias(f"h_{s}"))
     bounded = counted.join(of("a"), "a").join(of("b"), "b")
@@ -277,7 +284,7 @@ def similar(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     spread = rest.withColumn("blocks", blocks).withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     task = F.xxhash64("token", F.least("mine", "other"), F.greatest("mine", "other"))
     side = F.when(F.col("mine") == F.col("other"), F.lit(-1)).otherwise(F.when(F.col("mine") < F.col("other"), F.lit(0)).otherwise(F.lit(1)))
-    again = alone(spread.select(task.alias("token"), "n", "at", "doc_id", "component", side.alias("side")), count).distinct()
+    again = alone(spread.select(task.alias("token"), "n", "at", "doc_id", "component", side.alias("side")), False).select("a", "b").distinct()
     second = durable(again.join(first, ["a", "b"], "left_anti"), "pairs")
     whole = durable(links.unionByName(verified(second, texts, k, percent)), "links")
     same = copies.select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
