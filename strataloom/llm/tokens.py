@@ -17,7 +17,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -47,7 +47,7 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and its inverse modulo 2**64 for i below n; grown on demand."""
     have = _powers.get(base)
     if have is None or len(have[0]) < n:
-        size = max(n, SLICE_BYTES + (SLICE_BYTES >> 1))
+        size = max(n, SLICE_BYTES + (SLICE_BYTES >> 2))
         inverse = pow(base, -1, 1 << 64)
         made = []
         for b in (base, inverse):
