@@ -232,7 +232,7 @@ def similar(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     last = np.sort(np.array([r[0] for r in often.orderBy(F.desc("count"), "token").limit(LAST).select("token").collect()], np.int64).view(np.uint64))
 
     # equal sets are one node, named by the smallest doc_id
-    real = found.filter(F.col("n") > 0).filter(F.col("doc_id").isNotNull())
+    real = found.filter((F.col("n") > 0) & F.col("doc_id").isNotNull())
     node = real.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("node"))
     member = durable(real.join(node, ["n", "f1", "f2"]).select("doc_id", "node"), "members").distinct()
     copies = member.filter(F.col("doc_id") != F.col("node"))
@@ -291,3 +291,19 @@ def similar(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     groups = components(whole.unionByName(same))
     got = found.select("doc_id", F.col("n").alias("n_shingles")).join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     return got.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def distinct_documents(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """docs with one document of each component: the one with the smallest doc_id; all columns stay.
+
+    Of rows that repeat a doc_id and are equal in all columns one stays.  Texts
+    without words and rows without a doc_id link with nothing and all stay.
+    """
+    groups = similar(docs, k, percent)
+    gone = durable(groups.filter(F.col("component_id") < F.col("doc_id")).select(F.col("doc_id").alias("__gone")).distinct(), "gone")
+    kept = docs.join(gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
+    twice = durable(groups.filter(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)).groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("__twice")), "twice")
+    if twice.isEmpty():
+        return kept
+    of = F.col("doc_id").cast("long") == F.col("__twice")
+    return kept.join(twice, of, "left_anti").unionByName(kept.join(twice, of, "left_semi").dropDuplicates())
