@@ -34,28 +34,32 @@ from strataloom.session import durable, ship
 SHORT = 32
 #: Most shingles that are put last in the order (8 bytes each in a broadcast), those in the most lists.
 LAST = 200_000
+#: Most ids (8 bytes each) that are broadcast to leave texts out early.
+BROADCAST_IDS = 1_000_000
 #: Entries of a long list that one task pairs with as many others.
 BLOCK = 512
 
 
 def sets(column: pa.Array, k: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(from, to, shingle, document): distinct k-word shingles sorted by document and hash; lower case.
+    """(from, to, shingle, bounds): distinct k-word shingles of each document, sorted; lower case.
 
     A text of fewer than k words has its whole sequence as its one shingle.
     """
     for lo, hi, words in tokens.slices(column, True):
         hashes, n = words.hashes(), words.counts()
         value, at = tokens.windows(hashes, words.first, k)
-        doc = words.doc()[at]
+        first = np.searchsorted(at, words.first)
         for few in range(1, k):
             short = np.flatnonzero(n == few)
             if len(short):
                 got = np.zeros(len(short), np.uint64)
                 for j in range(few):
                     got = (got ^ hashes[words.first[short] + j]) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(few)
-                value, doc = np.concatenate([value, tokens.mix(got)]), np.concatenate([doc, short])
-        value, doc = tokens.ragged_unique(value, doc)
-        yield lo, hi, value, doc
+                value = np.insert(value, first[short], tokens.mix(got))
+                more = np.zeros(len(n) + 1, np.int64)
+                more[short + 1] = 1
+                first = first + np.cumsum(more)
+        yield lo, hi, *tokens.sorted_sets(value, first)
 
 
 def heads(n: np.ndarray, percent: int) -> np.ndarray:
@@ -63,42 +67,78 @@ def heads(n: np.ndarray, percent: int) -> np.ndarray:
     return n - -(-percent * n // 100) + 1
 
 
+def _places(first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The document of each value and its place there."""
+    doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    return doc, np.arange(first[-1]) - first[doc]
+
+
 def _sets(k: int, percent: int):
     """doc_id -> size, two fingerprints of the set, and somewhat more than its first shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("doc_id")
-            for lo, hi, value, doc in sets(batch.column("text"), k):
-                m = hi - lo
-                first = np.searchsorted(doc, np.arange(m + 1))
-                n = np.diff(first)
+            for lo, hi, value, first in sets(batch.column("text"), k):
+                m, n = hi - lo, np.diff(first)
                 sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value)])
                 odd = np.concatenate([np.zeros(1, np.uint64), np.cumsum(tokens.mix(value ^ np.uint64(0xA5A5A5A5A5A5A5A5)))])
                 f1, f2 = (s[first[1:]] - s[first[:-1]] for s in (sums, odd))
-                most = np.minimum(n, (heads(n, percent) * 3 + 1) // 2)
+                most = wide(n, percent)
+                doc, at = _places(first)
                 ends = np.concatenate([[0], np.cumsum(most)])
-                take = np.arange(len(value)) - first[doc] < most[doc]
-                head = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(value[take].view(np.int64)))
+                head = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(value[at < most[doc]].view(np.int64)))
                 yield pa.RecordBatch.from_arrays([ids.slice(lo, m), pa.array(n), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), head], ["doc_id", "n", "f1", "f2", "head"])
 
     return run
 
 
+def wide(n: np.ndarray, percent: int) -> np.ndarray:
+    """How many first shingles are counted to see which very many sets start with: half as many again."""
+    return np.minimum(n, (heads(n, percent) * 3 + 1) // 2)
+
+
+def _among(value: np.ndarray, last: np.ndarray) -> np.ndarray:
+    if not len(last):
+        return np.zeros(len(value), bool)
+    return last[np.minimum(np.searchsorted(last, value), len(last) - 1)] == value
+
+
+def _deeper(k: int, percent: int, last: np.ndarray):
+    """All shingles of the texts that would start with shingles put last in a quarter of their places.
+
+    With those gone to the end of the order, other shingles of the same
+    widespread texts come first, which have not been counted yet.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, value, first in sets(batch.column("text"), k):
+                doc, at = _places(first)
+                most = wide(np.diff(first), percent)
+                head = at < most[doc]
+                found = np.bincount(doc[head][_among(value[head], last)], minlength=len(most))
+                take = (4 * found >= most)[doc]
+                yield pa.RecordBatch.from_arrays([pa.array(value[take].view(np.int64))], ["token"])
+
+    return run
+
+
 def _entries(k: int, percent: int, last: np.ndarray):
     """(token, doc_id, n, at) of the first shingles, in the order with ``last`` (sorted) at the end."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            for lo, hi, value, doc in sets(batch.column("text"), k):
-                if len(last):
-                    hit = np.minimum(np.searchsorted(last, value), len(last) - 1)
-                    order = np.lexsort((value, last[hit] == value, doc))
-                    value = value[order]
-                first = np.searchsorted(doc, np.arange(hi - lo + 1))
+            for lo, hi, value, first in sets(batch.column("text"), k):
                 n = np.diff(first)
-                at = np.arange(len(value)) - first[doc]
+                doc, at = _places(first)
+                if len(last):
+                    end = _among(value, last)
+                    before = np.concatenate([[0], np.cumsum(end)])  # shingles put last so far
+                    mine = before[:-1] - before[first[:-1]][doc]
+                    ahead = (n - (before[first[1:]] - before[first[:-1]]))[doc]
+                    at = np.where(end, ahead + mine, at - mine)
                 take = at < heads(n, percent)[doc]
                 doc = doc[take]
                 yield pa.RecordBatch.from_arrays(
@@ -183,28 +223,26 @@ def _verify(k: int, percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = batch.column("a"), batch.column("b")
-            for lo in range(0, batch.num_rows, 256):
-                size = min(256, batch.num_rows - lo)
+            ok = []
+            for lo in range(0, batch.num_rows, 128):
+                size = min(128, batch.num_rows - lo)
                 both = pa.concat_arrays([batch.column("text_a").slice(lo, size), batch.column("text_b").slice(lo, size)])
-                values, docs = [], []
-                for at, _, value, doc in sets(both, k):
-                    values.append(value)
-                    docs.append(doc + at)
-                value, doc = np.concatenate(values), np.concatenate(docs)
-                n = np.bincount(doc, minlength=2 * size)
-                order = np.lexsort((value, doc % size))
-                v, d = value[order], (doc % size)[order]
-                same = np.flatnonzero((v[1:] == v[:-1]) & (d[1:] == d[:-1]))
-                shared = np.bincount(d[same], minlength=size)
-                ok = 100 * shared >= percent * (n[:size] + n[size:] - shared)
-                yield pa.RecordBatch.from_arrays([a.slice(lo, size).filter(pa.array(ok)), b.slice(lo, size).filter(pa.array(ok))], ["a", "b"])
+                held = [value[x:y] for _, _, value, first in sets(both, k) for x, y in zip(first[:-1].tolist(), first[1:].tolist())]
+                for x, y in zip(held[:size], held[size:]):
+                    merged = np.concatenate([x, y])
+                    merged.sort()
+                    shared = int((merged[1:] == merged[:-1]).sum())
+                    ok.append(100 * shared >= percent * (len(merged) - shared))
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     return run
 
 
 def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """Those of the pairs (a, b) whose sets link; texts has node and text."""
+    ids = durable(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "ids")
+    if ids.count() <= BROADCAST_IDS:  # few texts are needed as a rule: leave the rest out before they are shuffled
+        texts = texts.join(F.broadcast(ids), "node", "left_semi")
     with_a = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
     with_b = with_a.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
     return with_b.select("a", "b", "text_a", "text_b").mapInArrow(_verify(k, percent), "a long, b long")
@@ -228,8 +266,14 @@ def similar(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     found = durable(plain.mapInArrow(_sets(k, percent), "doc_id long, n long, f1 long, f2 long, head array<long>"), "sets")
 
     # shingles in the heads of very many sets, put last in the order; the number is bounded
-    often = found.select(F.explode("head").alias("token")).groupBy("token").count().filter(F.col("count") > SHORT)
-    last = np.sort(np.array([r[0] for r in often.orderBy(F.desc("count"), "token").limit(LAST).select("token").collect()], np.int64).view(np.uint64))
+    def most_common(token: DataFrame) -> np.ndarray:
+        often = token.groupBy("token").count().filter(F.col("count") > SHORT)
+        rows = often.orderBy(F.desc("count"), "token").limit(LAST).select("token").collect()
+        return np.array([r[0] for r in rows], np.int64).view(np.uint64)
+
+    last = np.sort(most_common(found.select(F.explode("head").alias("token"))))
+    if len(last):
+        last = np.union1d(last, most_common(plain.select("text").mapInArrow(_deeper(k, percent, last), "token long")))
 
     # equal sets are one node, named by the smallest doc_id
     real = found.filter((F.col("n") > 0) & F.col("doc_id").isNotNull())
