@@ -327,7 +327,8 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     copies = durable(alone.join(smallest, "digest").filter("doc > low").select("doc"), "copies")
 
     found = durable(plain.select("doc", "text").mapInArrow(_anchors(width), "anchor long, doc long, at int"), "anchors")
-    counts = found.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1")
+    # written apart, so that the join deals both sides by itself and can split a common anchor
+    counts = durable(found.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1"), "counts")
     again = found.join(counts, "anchor").select("doc", "at", (F.col("n") > HOT).alias("hot")).join(copies, "doc", "left_anti")
     marks = durable(again.groupBy("doc").agg(F.collect_set(F.struct("at", "hot")).alias("marks")), "marks")
 
