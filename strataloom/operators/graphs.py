@@ -35,5 +35,6 @@ def ancestors(rows: DataFrame, key: str, parent: str, levels: int) -> DataFrame:
     for _ in range(levels):
         step = out.join(up, F.col("__at") == F.col("__k"), "left")
         new = F.col("__k").isNotNull() & ~F.array_contains("path", F.col("__k"))
-        out = step.withColumn("path", F.when(new, F.array_append("path", F.col("__k"))).otherwise(F.col("path"))).withColumn("__at", F.when(new, F.col("__p"))).drop("__k", "__p")
+        longer = F.when(new, F.array_append("path", F.col("__k"))).otherwise(F.col("path"))
+        out = step.withColumns({"path": longer, "__at": F.when(new, F.col("__p"))}).drop("__k", "__p")
     return out.drop("__at")

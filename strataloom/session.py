@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -45,29 +46,56 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
-def durable(df: DataFrame, label: str, by: list[str] | None = None) -> DataFrame:
+def _tables(spark: SparkSession) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/strataloom/{spark.sparkContext.applicationId}"
+
+
+def durable(df: DataFrame, label: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back.
 
     The plan above starts from files: losing an executor costs no more than the
     tasks it ran, and the columns that a later step leaves out are not read.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/strataloom/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
-    writer = df.write
-    if by:
-        writer = writer.partitionBy(*by)
-    writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Delete the tables that durable() wrote in this application."""
-    path = f"{shared_dir(spark).rstrip('/')}/strataloom/{spark.sparkContext.applicationId}"
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
+    path = f"{_tables(spark)}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._durable_path = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that durable() wrote, when all that was made of them is written too.
+
+    Shuffle files of steps that are done go as well: Spark's cleaner removes
+    them once the driver has collected what refers to them.
+    """
+    for table in tables:
+        _delete(table.sparkSession, table._durable_path)
+    if tables:
+        gc.collect()
+        tables[0].sparkSession.sparkContext._jvm.System.gc()
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def sweep(spark: SparkSession, *keep: DataFrame) -> None:
+    """Delete all tables that durable() wrote in this application but those that ``keep`` read."""
+    jvm, root = spark.sparkContext._jvm, _tables(spark)
+    used = {f.rsplit("/", 2)[-2] for df in keep for f in df.inputFiles()}
+    where = jvm.org.apache.hadoop.fs.Path(root)
+    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if files.exists(where):
+        for status in files.listStatus(where):
+            if status.getPath().getName() not in used:
+                files.delete(status.getPath(), True)
+    gc.collect()
+    jvm.System.gc()
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors' Python workers, once for each application."""
     context = spark.sparkContext
