@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from strataloom.llm import tokens
 from strataloom.llm.components import components
-from strataloom.session import durable, ship
+from strataloom.session import discard, durable, ship
 
 #: Lists of at most so many entries are paired within themselves; longer ones meet their centre first.
 SHORT = 32
@@ -87,21 +87,27 @@ def _sets(k: int, percent: int):
                 most = wide(n, percent)
                 doc, at = _places(first)
                 ends = np.concatenate([[0], np.cumsum(most)])
-                head = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(value[at < most[doc]].view(np.int64)))
+                head = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(brief(value[at < most[doc]])))
                 yield pa.RecordBatch.from_arrays([ids.slice(lo, m), pa.array(n), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), head], ["doc_id", "n", "f1", "f2", "head"])
 
     return run
 
 
 def wide(n: np.ndarray, percent: int) -> np.ndarray:
-    """How many first shingles are counted to see which very many sets start with: half as many again."""
-    return np.minimum(n, (heads(n, percent) * 3 + 1) // 2)
+    """How many first shingles are counted to see which very many sets start with: a quarter more."""
+    return np.minimum(n, (heads(n, percent) * 5 + 3) // 4)
+
+
+def brief(value: np.ndarray) -> np.ndarray:
+    """The first 40 bits, by which shingles are counted: a shared beginning only puts a shingle last needlessly."""
+    return (value >> np.uint64(24)).view(np.int64)
 
 
 def _among(value: np.ndarray, last: np.ndarray) -> np.ndarray:
     if not len(last):
         return np.zeros(len(value), bool)
-    return last[np.minimum(np.searchsorted(last, value), len(last) - 1)] == value
+    short = brief(value)
+    return last[np.minimum(np.searchsorted(last, short), len(last) - 1)] == short
 
 
 def _deeper(k: int, percent: int, last: np.ndarray):
@@ -119,13 +125,16 @@ def _deeper(k: int, percent: int, last: np.ndarray):
                 head = at < most[doc]
                 found = np.bincount(doc[head][_among(value[head], last)], minlength=len(most))
                 take = (4 * found >= most)[doc]
-                yield pa.RecordBatch.from_arrays([pa.array(value[take].view(np.int64))], ["token"])
+                yield pa.RecordBatch.from_arrays([pa.array(brief(value[take]))], ["token"])
 
     return run
 
 
 def _entries(k: int, percent: int, last: np.ndarray):
-    """(token, doc_id, n, at) of the first shingles, in the order with ``last`` (sorted) at the end."""
+    """(token, doc_id, code, late) of the first shingles, in the order with ``last`` (sorted) at the end.
+
+    code is the size of the set and, in its lower 32 bits, the place in it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -133,21 +142,42 @@ def _entries(k: int, percent: int, last: np.ndarray):
             for lo, hi, value, first in sets(batch.column("text"), k):
                 n = np.diff(first)
                 doc, at = _places(first)
+                end = _among(value, last)
                 if len(last):
-                    end = _among(value, last)
                     before = np.concatenate([[0], np.cumsum(end)])  # shingles put last so far
                     mine = before[:-1] - before[first[:-1]][doc]
                     ahead = (n - (before[first[1:]] - before[first[:-1]]))[doc]
                     at = np.where(end, ahead + mine, at - mine)
                 take = at < heads(n, percent)[doc]
                 doc = doc[take]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(value[take].view(np.int64)), pa.array(ids[lo:hi][doc]), pa.array(n[doc].astype(np.int32)), pa.array(at[take].astype(np.int32))], ["token", "doc_id", "n", "at"]
-                )
+                code = (n[doc].astype(np.int64) << 32) | at[take]
+                yield pa.RecordBatch.from_arrays([pa.array(value[take].view(np.int64)), pa.array(ids[lo:hi][doc]), pa.array(code), pa.array(end[take])], ["token", "doc_id", "code", "late"])
 
     return run
 
 
+def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows, sorted by token, whose token more than one row has; only the last row of a batch is held back."""
+    held: pa.RecordBatch | None = None
+    alone = True
+    for batch in batches:
+        if held is not None:
+            batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+        if not batch.num_rows:
+            continue
+        token = batch.column("token").to_numpy()
+        keep = np.zeros(len(token), bool)
+        same = token[1:] == token[:-1]
+        keep[1:] |= same
+        keep[:-1] |= same
+        if held is not None and not alone:  # the row held back repeats one that went out
+            keep[0] = True
+        held, alone = batch.slice(len(token) - 1), not keep[-1]
+        yield batch.slice(0, len(token) - 1).filter(pa.array(keep[:-1]))
+    if held is not None and not alone:
+        yield held
+
+
 def possible(n1, at1, n2, at2, percent: int):
     """Whether sets whose first common shingle is at these places can overlap enough; columns or arrays.
 
@@ -263,36 +293,44 @@ def similar(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     ship(docs.sparkSession)
     spark = docs.sparkSession
     plain = docs.select(F.col("doc_id").cast("long"), "text")
-    found = durable(plain.mapInArrow(_sets(k, percent), "doc_id long, n long, f1 long, f2 long, head array<long>"), "sets")
+    whole = durable(plain.mapInArrow(_sets(k, percent), "doc_id long, n long, f1 long, f2 long, head array<long>"), "heads")
+    found = durable(whole.drop("head"), "sets")
 
     # shingles in the heads of very many sets, put last in the order; the number is bounded
     def most_common(token: DataFrame) -> np.ndarray:
         often = token.groupBy("token").count().filter(F.col("count") > SHORT)
         rows = often.orderBy(F.desc("count"), "token").limit(LAST).select("token").collect()
-        return np.array([r[0] for r in rows], np.int64).view(np.uint64)
+        return np.array([r[0] for r in rows], np.int64)
 
-    last = np.sort(most_common(found.select(F.explode("head").alias("token"))))
+    last = np.sort(most_common(whole.select(F.explode("head").alias("token"))))
     if len(last):
         last = np.union1d(last, most_common(plain.select("text").mapInArrow(_deeper(k, percent, last), "token long")))
+    discard(whole)
 
     # equal sets are one node, named by the smallest doc_id
     real = found.filter((F.col("n") > 0) & F.col("doc_id").isNotNull())
     node = real.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("node"))
     member = durable(real.join(node, ["n", "f1", "f2"]).select("doc_id", "node"), "members").distinct()
-    copies = member.filter(F.col("doc_id") != F.col("node"))
+    copies = durable(member.filter(F.col("doc_id") != F.col("node")), "copies")
 
-    # the index, without lists of one entry and without copies
-    entry = plain.filter(F.col("doc_id").isNotNull()).mapInArrow(_entries(k, percent, last), "token long, doc_id long, n int, at int")
+    # the index, without lists of one entry and without copies.  Shingles put last are known to be
+    # common; the others have few entries each, which meet by token once
+    count = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    entry = plain.filter(F.col("doc_id").isNotNull()).mapInArrow(_entries(k, percent, last), "token long, doc_id long, code long, late boolean")
     entry = durable(entry, "entries")
-    shared = entry.groupBy("token").agg(F.count("*").alias("all")).filter(F.col("all") > 1).select("token")
-    index = entry.join(shared, "token").join(copies.select("doc_id"), "doc_id", "left_anti").groupBy("token", "doc_id").agg(F.max("n").alias("n"), F.max("at").alias("at"))
-    index = durable(index, "index")
-    lists = index.groupBy("token").agg(F.count("*").alias("all")).filter(F.col("all") > 1)
-    index = durable(index.join(lists, "token"), "lists")
+    rare = entry.filter(~F.col("late")).select("token", "doc_id", "code").repartition(count, "token").sortWithinPartitions("token").mapInArrow(_repeated, "token long, doc_id long, code long")
+    kept = durable(rare.unionByName(entry.filter("late").select("token", "doc_id", "code")), "kept")
+    discard(entry)
+    place = F.max("code").alias("code")  # rows that repeat a doc_id: the set with the most shingles
+    index = kept.join(copies.select("doc_id"), "doc_id", "left_anti").groupBy("token", "doc_id").agg(place)
+    index = durable(index.select("token", "doc_id", F.shiftright("code", 32).cast("int").alias("n"), F.col("code").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("at")), "index")
+    discard(kept)
+    lists = durable(index.groupBy("token").agg(F.count("*").alias("all")).filter(F.col("all") > 1), "lengths")
+    single, index = index, durable(index.join(lists, "token"), "lists")
+    discard(single, lists)
     short, long = index.filter(F.col("all") <= SHORT), index.filter(F.col("all") > SHORT)
 
     # pairs of short lists, counted; a pair goes on if its count and the entries in long lists allow enough
-    count = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
     alone = lambda rows, every: rows.repartition(count, "token").sortWithinPartitions("token", "n", "doc_id").mapInArrow(_pair(percent, every), "a long, b long, ok boolean")
     loose = short.select("token", "n", "at", "doc_id", F.col("doc_id").alias("component"), F.lit(-1).alias("side"))
     counted = alone(loose, True).groupBy("a", "b").agg(F.count("*").alias("c"), F.max("ok").alias("ok")).filter("ok")
@@ -330,9 +368,10 @@ def similar(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     side = F.when(F.col("mine") == F.col("other"), F.lit(-1)).otherwise(F.when(F.col("mine") < F.col("other"), F.lit(0)).otherwise(F.lit(1)))
     again = alone(spread.select(task.alias("token"), "n", "at", "doc_id", "component", side.alias("side")), False).select("a", "b").distinct()
     second = durable(again.join(first, ["a", "b"], "left_anti"), "pairs")
-    whole = durable(links.unionByName(verified(second, texts, k, percent)), "links")
+    all_links = durable(links.unionByName(verified(second, texts, k, percent)), "links")
+    discard(index, at, first, second, links)
     same = copies.select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
-    groups = components(whole.unionByName(same))
+    groups = components(all_links.unionByName(same))
     got = found.select("doc_id", F.col("n").alias("n_shingles")).join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     return got.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
