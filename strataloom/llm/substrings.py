@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataloom.llm import tokens
-from strataloom.session import durable, ship
+from strataloom.session import discard, durable, ship
 
 WIDTH = 20
 ANCHOR = 8
@@ -331,6 +331,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     counts = durable(found.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1"), "counts")
     again = found.join(counts, "anchor").select("doc", "at", (F.col("n") > HOT).alias("hot")).join(copies, "doc", "left_anti")
     marks = durable(again.groupBy("doc").agg(F.collect_set(F.struct("at", "hot")).alias("marks")), "marks")
+    discard(thin, found, counts)
 
     schema = "hot boolean, anchor long, h1 long, h2 long, doc long, at int, off int, n int, words binary"
     segments = plain.select("doc", "text").join(marks, "doc").select("doc", "text", "marks").mapInArrow(_segments(width), schema)
@@ -345,6 +346,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     mark = F.struct("at", "hot", "h1", "first")
     known = marks.select("doc", F.explode("marks").alias("m")).select("doc", "m.at", "m.hot", F.lit(0).cast("long").alias("h1"), F.lit(0).cast("long").alias("first"))
     info = durable(firsts.unionByName(hot).unionByName(known).groupBy("doc").agg(F.collect_set(mark).alias("marks")), "firsts")
+    discard(marks, distinct)
     info = info.select("doc", "marks", F.lit(False).alias("copy")).unionByName(copies.select("doc", F.array().cast(info.schema["marks"].dataType).alias("marks"), F.lit(True).alias("copy")))
     whole = plain.join(info, "doc", "left").select("doc_id", "text", "marks", F.coalesce("copy", F.lit(False)).alias("copy"))
     return whole.mapInArrow(_strip(width), "doc_id long, n_words long, n_removed long, kept string")
