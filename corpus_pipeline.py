@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataloom.llm import decontamination, jaccard, packing, quality, templates
-from strataloom.session import durable
+from strataloom.session import durable, sweep
 from strataloom.sources.tables import table
 
 
@@ -43,12 +43,22 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs)
 
 
+def _tidy(stage):
+    """A stage that first deletes what earlier stages left in the shared folder and its docs do not read."""
+
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        sweep(spark, docs)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
 STAGES = [
-    ("quality_rules", quality_rules),
-    ("line_dedup", line_dedup),
-    ("near_duplicates", near_duplicates),
-    ("decontaminate", decontaminate),
-    ("pack", pack),
+    ("quality_rules", _tidy(quality_rules)),
+    ("line_dedup", _tidy(line_dedup)),
+    ("near_duplicates", _tidy(near_duplicates)),
+    ("decontaminate", _tidy(decontaminate)),
+    ("pack", _tidy(pack)),
 ]
 
 #: The rules are learned and the tokens come from a vocabulary file, which SQL cannot express.
