@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-PLANS = ("aggregates", "integrity", "joins", "linkage", "ordered", "spatial", "state", "texts")
+PLANS = ("aggregates", "integrity", "joins", "linkage", "ordered", "records", "spatial", "state", "texts")
 
 
 @dataclass(frozen=True)
