@@ -55,31 +55,29 @@ def durable(df: DataFrame, label: str) -> DataFrame:
 
     The plan above starts from files: losing an executor costs no more than the
     tasks it ran, and the columns that a later step leaves out are not read.
+    Shuffle files of the step go as soon as it is written: Spark's cleaner
+    removes them once the driver has collected what refers to them.
     """
     spark = df.sparkSession
     path = f"{_tables(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _collect(spark)
     table = spark.read.schema(df.schema).parquet(path)
     table._durable_path = path
     return table
 
 
 def discard(*tables: DataFrame) -> None:
-    """Delete tables that durable() wrote, when all that was made of them is written too.
-
-    Shuffle files of steps that are done go as well: Spark's cleaner removes
-    them once the driver has collected what refers to them.
-    """
+    """Delete tables that durable() wrote, when all that was made of them is written too."""
     for table in tables:
-        _delete(table.sparkSession, table._durable_path)
-    if tables:
-        gc.collect()
-        tables[0].sparkSession.sparkContext._jvm.System.gc()
+        context = table.sparkSession.sparkContext
+        where = context._jvm.org.apache.hadoop.fs.Path(table._durable_path)
+        where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+def _collect(spark: SparkSession) -> None:
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def sweep(spark: SparkSession, *keep: DataFrame) -> None:
@@ -92,8 +90,7 @@ def sweep(spark: SparkSession, *keep: DataFrame) -> None:
         for status in files.listStatus(where):
             if status.getPath().getName() not in used:
                 files.delete(status.getPath(), True)
-    gc.collect()
-    jvm.System.gc()
+    _collect(spark)
 
 
 def ship(spark: SparkSession) -> None:
