@@ -131,7 +131,8 @@ def anchors(words: tokens.Words, hashes: np.ndarray, width: int) -> tuple[np.nda
     owner = p[start]
     doc = words.doc()[start]
     cut = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (doc[1:] != doc[:-1])]))
-    return doc[cut], value[owner[cut]], owner[cut], start[cut], np.diff(np.append(cut, len(start)))
+    # 48 bits name an anchor: two that share them only share a shard
+    return doc[cut], value[owner[cut]] >> np.uint64(16), owner[cut], start[cut], np.diff(np.append(cut, len(start)))
 
 
 def spans(hashes: np.ndarray, base: int):
