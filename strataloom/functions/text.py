@@ -42,6 +42,12 @@ def shingles(words: Column, n: int) -> Column:
     ).otherwise(F.array().cast("array<string>"))
 
 
+def hashed_shingles(words: Column, n: int) -> Column:
+    """A 64-bit hash of each run of n words, in order."""
+    bound = F.transform(F.array(words), lambda w: F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.xxhash64(*[w[i + j] for j in range(n)]))).otherwise(F.array().cast("array<bigint>")))
+    return bound.getItem(0)  # the words are split once a row, not once a run
+
+
 def singular(word: Column) -> Column:
     """-ies -> -y, -ses -> -s, other plural -s dropped."""
     return (

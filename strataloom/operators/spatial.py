@@ -8,6 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Cells of an as-of join, whose carry-over is one ordered pass.
+MOST_CELLS = 100_000
+
+
 def paint(rows: DataFrame, bands: DataFrame, value: str) -> DataFrame:
     """rows with the id of the last band (by ord) with lo <= value < hi.
 
@@ -22,10 +26,13 @@ def paint(rows: DataFrame, bands: DataFrame, value: str) -> DataFrame:
 def as_of(left: DataFrame, right: DataFrame, at: str, since: str, keep: list[str], width: int) -> DataFrame:
     """left with the columns ``keep`` of the row of right with the largest ``since`` up to ``at``; inner.
 
-    Both sides are cut into cells of ``width``.  A cell's rows meet in one task
-    and each cell also gets the last row of right before it, which comes from one
-    row a cell, so no task sees more than a cell.
+    Both sides are cut into cells of ``width``, or wider ones where that would be
+    more than MOST_CELLS.  A cell's rows meet in one task and each cell also gets
+    the last row of right before it, which comes from one row a cell.
     """
+    lo, hi = left.agg(F.min(at), F.max(at)).first()
+    if lo is not None:
+        width = max(width, (hi - lo) / MOST_CELLS)
     cell = lambda c: F.floor(F.col(c) / width)
     starts = right.select(F.col(since).alias("__s"), F.struct(*keep).alias("__v"), cell(since).alias("__c"))
     from pyspark.sql import Window

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strataloom.functions.text import plain_words, shingles
+from strataloom.functions.text import hashed_shingles, plain_words
 from strataloom.operators import checks
 from strataloom.plans.registry import query
 from strataloom.sources.tables import table
@@ -25,7 +25,8 @@ def _copied(spark, sf_dir):
 
     def runs(name, key):
         words = table(spark, sf_dir, name).select(F.col(key).alias("id"), *(["source"] if name == "documents" else []), plain_words(F.col("text")).alias("w"))
-        return words.select("*", F.posexplode(shingles(F.col("w"), 11)).alias("pos", "s")).drop("w")
+        # runs meet as numbers; rows of 64 bits instead of 11 words are exploded and shuffled
+        return words.select(*[c for c in words.columns if c != "w"], F.posexplode(hashed_shingles(F.col("w"), 11)).alias("pos", "s"))
 
     known = runs("benchmark", "item_id").groupBy("s").agg(F.min(F.struct("id", "pos")).alias("place"))
     hits = runs("documents", "doc_id").join(known, "s")
