@@ -268,6 +268,11 @@ def _verify(k: int, percent: int):
     return run
 
 
+def few(ids: DataFrame) -> DataFrame:
+    """ids, written before, to be broadcast if they are few enough, and joined by a shuffle if not."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
 def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """Those of the pairs (a, b) whose sets link; texts has node and text."""
     ids = durable(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "ids")
@@ -322,7 +327,7 @@ def similar(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     kept = durable(rare.unionByName(entry.filter("late").select("token", "doc_id", "code")), "kept")
     discard(entry)
     place = F.max("code").alias("code")  # rows that repeat a doc_id: the set with the most shingles
-    index = kept.join(copies.select("doc_id"), "doc_id", "left_anti").groupBy("token", "doc_id").agg(place)
+    index = kept.join(few(copies.select("doc_id")), "doc_id", "left_anti").groupBy("token", "doc_id").agg(place)
     index = durable(index.select("token", "doc_id", F.shiftright("code", 32).cast("int").alias("n"), F.col("code").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("at")), "index")
     discard(kept)
     lists = durable(index.groupBy("token").agg(F.count("*").alias("all")).filter(F.col("all") > 1), "lengths")
@@ -384,7 +389,7 @@ def distinct_documents(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     """
     groups = similar(docs, k, percent)
     gone = durable(groups.filter(F.col("component_id") < F.col("doc_id")).select(F.col("doc_id").alias("__gone")).distinct(), "gone")
-    kept = docs.join(gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
+    kept = docs.join(few(gone), F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
     twice = durable(groups.filter(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)).groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("__twice")), "twice")
     if twice.isEmpty():
         return kept
