@@ -278,6 +278,9 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFr
     ids = durable(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "ids")
     if ids.count() <= BROADCAST_IDS:  # few texts are needed as a rule: leave the rest out before they are shuffled
         texts = texts.join(F.broadcast(ids), "node", "left_semi")
+    if pairs.count() <= BROADCAST_IDS:  # each text leaves its scan once for every pair it is in, and no other text moves
+        side = lambda x: texts.join(F.broadcast(pairs), F.col("node") == F.col(x)).select("a", "b", F.col("text").alias(f"text_{x}"))
+        return side("a").join(side("b"), ["a", "b"]).select("a", "b", "text_a", "text_b").mapInArrow(_verify(k, percent), "a long, b long")
     with_a = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
     with_b = with_a.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
     return with_b.select("a", "b", "text_a", "text_b").mapInArrow(_verify(k, percent), "a long, b long")
