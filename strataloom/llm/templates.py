@@ -9,13 +9,18 @@ document with the smallest id, so no content is lost altogether.
 
 Lines are counted by template where they are read, so a line that a third of
 all documents has is one row a task.  Only leaves that can reach the limit are
-parsed, template by template and not line by line; a leaf with very many
-templates is split.
+parsed, template by template and not line by line.  A leaf is never split, since
+groups depend on all of its templates; those that no other one of a large leaf
+can be like are put aside before it is parsed, which changes no group.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,7 +31,7 @@ from strataloom.session import discard, durable, ship
 #: Documents from which on a template recurs, and least tokens of a line that can be dropped.
 MIN_DOCS = 10
 MIN_TOKENS = 3
-#: Leading tokens on the way to a leaf, and templates from which on a leaf is split.
+#: Leading tokens on the way to a leaf, and templates from which on those of a leaf without a like are put aside first.
 DEPTH, LEAF_TEMPLATES = 4, 2_000
 #: Most rows (of two longs) that are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
@@ -66,17 +71,49 @@ def lines(docs: DataFrame) -> DataFrame:
     )
 
 
+def blocks(n: int) -> list[tuple[int, int]]:
+    """Ranges of places of which two alike sequences of n tokens equal each other in one at least: one more than places that may differ."""
+    spare = next(k for k in range(n, -1, -1) if n - k >= ALIKE * n)
+    start = min(DEPTH, n - spare - 1)  # the leading tokens are equal in a leaf
+    cuts = [start + (n - start) * i // (spare + 1) for i in range(spare + 2)]
+    return list(zip(cuts, cuts[1:]))
+
+
 def group(templates: list[list[str]]) -> tuple[list[int], list[list[str]]]:
-    """The group of each template of one node, taken in the order given, and what each group generalises to."""
+    """The group of each template of one node and length, taken in the order given, and what each group generalises to.
+
+    Only groups that equal the template in a block are compared, which leaves out none that is alike.
+    """
+    if not templates:
+        return [], []
+    n = len(templates[0])
+    ranges = blocks(n)
+    numbers: dict[str, int] = {WILD: 0}
+    held = np.zeros((16, n), np.int32)  # the tokens of each group by number
+    index: dict[tuple, list[int]] = {}
     groups: list[list[str]] = []
     out = []
     for t in templates:
-        best = next((g for g, held in enumerate(groups) if sum(a == b for a, b in zip(t, held)) >= ALIKE * len(t)), None)
-        if best is None:
-            groups.append(list(t))
-            best = len(groups) - 1
+        row = np.array([numbers.setdefault(x, len(numbers)) for x in t], np.int32)
+        keys = [(i, *t[a:b]) for i, (a, b) in enumerate(ranges)]
+        near = np.unique(np.concatenate([np.array(index.get(k, []), np.int64) for k in keys]))
+        near = near[(held[near] == row).sum(axis=1) >= ALIKE * n]
+        if len(near):
+            best = int(near[0])
+            sketch = [a if a == b else WILD for a, b in zip(groups[best], t)]
+            for i, (a, b) in enumerate(ranges):
+                if sketch[a:b] != groups[best][a:b]:
+                    index.setdefault((i, *sketch[a:b]), []).append(best)
+            groups[best] = sketch
+            held[best] = np.where(held[best] == row, row, 0)
         else:
-            groups[best] = [a if a == b else WILD for a, b in zip(groups[best], t)]
+            best = len(groups)
+            groups.append(list(t))
+            if best == len(held):
+                held = np.concatenate([held, np.zeros_like(held)])
+            held[best] = row
+            for k in keys:
+                index.setdefault(k, []).append(best)
         out.append(best)
     return out, groups
 
@@ -90,26 +127,41 @@ def _node(table: pa.Table) -> pa.Table:
     found = []
     for held in by_size.values():
         where, groups = group([t for t, _ in held])
-        for (_, h), g in zip(held, where):
-            if where.count(g) > 1:
-                name = hashlib.blake2b(" ".join(groups[g]).encode(), digest_size=8).digest()
-                found.append((h, int.from_bytes(name, "little", signed=True)))
+        members = Counter(where)
+        names = {g: int.from_bytes(hashlib.blake2b(" ".join(groups[g]).encode(), digest_size=8).digest(), "little", signed=True) for g, c in members.items() if c > 1}
+        found += [(h, names[g]) for (_, h), g in zip(held, where) if g in names]
     return pa.table({"hash": pa.array([h for h, _ in found], pa.int64()), "grouped": pa.array([g for _, g in found], pa.int64())})
 
 
-def parse(docs: DataFrame, counted: DataFrame, min_docs: int) -> DataFrame:
-    """(hash, grouped) of templates that share a group with others.
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = []
+        for leaf, h, t in zip(*(batch.column(c).to_pylist() for c in ("leaf", "hash", "template"))):
+            tokens = t.split(" ")
+            for i, (a, b) in enumerate(blocks(len(tokens))):
+                name = hashlib.blake2b(" ".join([str(leaf), str(i), *tokens[a:b]]).encode(), digest_size=8).digest()
+                found.append((h, int.from_bytes(name, "little", signed=True)))
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["hash", "key"])
+
+
+def likely(templates: DataFrame) -> DataFrame:
+    """The templates that can be in a group with others: those that have a block in common with another of their leaf.
 
-    A leaf with more than LEAF_TEMPLATES templates is split evenly; groups have
-    the name of what they generalise to, so those of different parts that come to
-    the same template are one.
+    A template without ``<*>`` only joins a group whose first member equals it in a
+    block.  One with it may join for places that were generalised, so it stays.
     """
+    keys = templates.select("leaf", "hash", "template").mapInArrow(_keys, "hash long, key long")
+    shared = keys.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key")
+    wild = templates.filter(F.array_contains(F.split("template", " "), WILD)).select("hash")
+    return templates.join(keys.join(shared, "key").select("hash").union(wild).distinct(), "hash", "left_semi")
+
+
+def parse(docs: DataFrame, counted: DataFrame, min_docs: int) -> DataFrame:
+    """(hash, grouped) of templates that share a group with others; each leaf is parsed as a whole."""
     open_ = counted.filter(F.col("n") >= LEAST_ALIKE)
     leaves = open_.groupBy("leaf").agg(F.sum("docs").alias("all"), F.count("*").alias("templates"))
     busy = leaves.filter((F.col("all") >= min_docs) & (F.col("templates") > 1))
-    parts = F.ceil(F.col("templates") / LEAF_TEMPLATES)
-    node = F.when(parts > 1, F.xxhash64("leaf", F.pmod("hash", parts))).otherwise(F.col("leaf"))
-    taken = durable(open_.join(busy, "leaf").select(node.alias("node"), "hash", "docs", "at.doc_id", "at.text_hash", "at.line"), "busy")
+    taken = durable(open_.join(busy, "leaf").select("leaf", (F.col("templates") > LEAF_TEMPLATES).alias("large"), "hash", "docs", "at.doc_id", "at.text_hash", "at.line"), "busy")
     # the wording of a template comes from the first line that has it; few lines are needed as a rule,
     # and then their documents are found by a broadcast of checked size
     places = taken.select("doc_id", "text_hash").distinct()
@@ -119,7 +171,11 @@ def parse(docs: DataFrame, counted: DataFrame, min_docs: int) -> DataFrame:
     sources = docs.select(F.col("doc_id").cast("long"), "text", text.alias("text_hash"))
     sources = sources.join(places.withColumnsRenamed({"doc_id": "id", "text_hash": "h"}), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("h")), "left_semi")
     worded = lines(sources).groupBy("hash").agg(F.min("template").alias("template"))
-    return taken.join(worded, "hash").select("node", "hash", "template", "docs").groupBy("node").applyInArrow(_node, "hash long, grouped long")
+    rows = taken.join(worded, "hash").select("leaf", "large", "hash", "template", "docs")
+    if not taken.filter("large").isEmpty():
+        rows = durable(rows, "worded")
+        rows = rows.filter("not large").unionByName(likely(rows.filter("large")))
+    return rows.drop("large").groupBy("leaf").applyInArrow(_node, "hash long, grouped long")
 
 
 def recurring(docs: DataFrame, min_docs: int = MIN_DOCS) -> tuple[DataFrame, DataFrame]:

@@ -79,6 +79,34 @@ def test_large_leaf_is_split(spark, monkeypatch):
     assert kept == [0]
 
 
+def test_small_family_in_a_large_leaf(spark, monkeypatch):
+    rng = random.Random(4)
+
+    def word():
+        return "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6))
+
+    lines = [f"this leaf begins with {word()} {word()} {word()} {word()} {word()} {word()}" for _ in range(900)]
+    lines += [f"this leaf begins with a rare family of {word()} here" + tail for tail in ("", "", "now") for _ in range(4)]
+    lines += [f"this leaf begins with another family {word()} {place} {word()}" for place in ("at", "7") for _ in range(6)]
+    docs = list(enumerate(lines))
+    want = by_hand(docs)
+    monkeypatch.setattr(T, "LEAF_TEMPLATES", 45)
+    got = {r["doc_id"]: r["text"] for r in T.strip(frame(spark, docs)).collect()}
+    assert got == want and sum(t == "" for t in want.values()) >= 7
+
+
+def test_groups_of_a_node_equal_those_of_a_plain_loop():
+    rng = random.Random(5)
+    for n in (6, 7, 10, 13):
+        rows = [["a", "b", "c", "d", *(rng.choice(["x", "y", "z", T.WILD, str(rng.random())]) for _ in range(n - 4))] for _ in range(400)]
+        where, groups = [], []
+        for t in rows:
+            g = next((i for i, held in enumerate(groups) if sum(a == b for a, b in zip(t, held)) >= T.ALIKE * n), len(groups))
+            groups[g:g + 1] = [[a if a == b else T.WILD for a, b in zip(groups[g], t)] if g < len(groups) else t]
+            where.append(g)
+        assert T.group(rows) == (where, groups) and 1 < len(groups) < 400
+
+
 def test_awkward(spark):
     docs = awkward(spark, [(i, "the same line here\nthe same line here\nowned") for i in range(20, 32)] + [(20, "the same line here\nthe same line here\nowned")])
     out = T.strip(docs)
