@@ -26,15 +26,31 @@ def exact_then_fuzzy(asked: DataFrame, keys: DataFrame, q: str, k: str, block: i
     return _top(exact.select(q, k, "d").unionByName(near), q, [F.col("d"), F.col(k)], top)
 
 
-def ratio_candidates(asked: DataFrame, keys: DataFrame, q: str, k: str, block: int, cutoff: float, top: int) -> DataFrame:
-    """(q, k, ratio) by twice the length of matching blocks over both lengths, within blocks of equal beginnings."""
+def ratio_candidates(asked: DataFrame, keys: DataFrame, q: str, k: str, cutoff: float, top: int) -> DataFrame:
+    """(q, k, ratio) by twice the length of matching blocks over both lengths, for all pairs that can reach the cutoff.
+
+    Pairs meet by length: twice the shorter over both lengths bounds the ratio.
+    Next come the characters in common, a bound too, and only then the blocks, with
+    the key as first and the asked as second sequence, as ``get_close_matches`` has them.
+    """
     ship(asked.sparkSession)
-    pairs = asked.withColumn("__b", F.left(F.col(q), F.lit(block))).join(keys.withColumn("__b", F.left(F.col(k), F.lit(block))), "__b").select(q, k)
+    size = F.length(q)
+    # one length more at both ends, so that no rounding loses a pair
+    lengths = F.sequence(F.greatest(F.floor(size * (cutoff / (2 - cutoff))) - 1, F.lit(0)), F.ceil(size * ((2 - cutoff) / cutoff)) + 1)
+    sized = keys.select(k).withColumn("__n", F.length(k).cast("long"))
+    pairs = asked.select(q, F.explode(lengths).alias("__n")).join(sized, "__n").select(q, k)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        match, last = difflib.SequenceMatcher(None), None
         for batch in batches:
-            rows = [(a, b, difflib.SequenceMatcher(None, a, b).ratio()) for a, b in zip(batch.column(q).to_pylist(), batch.column(k).to_pylist())]
-            rows = [r for r in rows if r[2] >= cutoff]
+            rows = []
+            for a, b in zip(batch.column(q).to_pylist(), batch.column(k).to_pylist()):
+                if a != last:
+                    match.set_seq2(a)
+                    last = a
+                match.set_seq1(b)
+                if match.real_quick_ratio() >= cutoff and match.quick_ratio() >= cutoff and (ratio := match.ratio()) >= cutoff:
+                    rows.append((a, b, ratio))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.float64()))], [q, k, "ratio"])
 
     return _top(pairs.mapInArrow(run, f"{q} string, {k} string, ratio double"), q, [F.desc("ratio"), F.col(k)], top)

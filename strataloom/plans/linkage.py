@@ -27,10 +27,10 @@ def exact_then_fuzzy(spark, sf_dir):
 
 @query("JON16 SRT02")
 def similar_titles(spark, sf_dir):
-    """Candidates by matching-blocks ratio, a measure that SQL does not have; checked against a plain loop."""
+    """Candidates among all keys by matching-blocks ratio, a measure that SQL does not have; checked against a plain loop."""
     keys = table(spark, sf_dir, "part").select(F.col("p_name").alias("k")).distinct()
     asked = keys.select(F.regexp_replace("k", "a", "o").alias("q")).distinct()
-    return linkage.ratio_candidates(asked, keys, "q", "k", block=3, cutoff=0.8, top=3)
+    return linkage.ratio_candidates(asked, keys, "q", "k", cutoff=0.8, top=3)
 
 
 @query(

@@ -111,3 +111,32 @@ def test_sequences(spark):
 def test_quantise_cuts_off(spark):
     rows = spark.createDataFrame([(-1.0,), (0.0,), (0.999,), (1.0,), (2.0,)], "v double")
     assert [r[0] for r in rows.select(stats.quantise(F.col("v"), F.lit(0.0), F.lit(1.0))).collect()] == [0, 0, 254, 255, 255]
+
+
+def test_similar_titles_equal_a_plain_loop(spark):
+    import difflib
+
+    keys = sorted({r["p_name"] for r in spark.read.parquet(f"{SF}/part.parquet").collect()})
+    want = set()
+    for q in {k.replace("a", "o") for k in keys}:
+        near = [(difflib.SequenceMatcher(None, k, q).ratio(), k) for k in keys]
+        want |= {(q, k, r) for r, k in sorted((x for x in near if x[0] >= 0.8), key=lambda x: (-x[0], x[1]))[:3]}
+    got = [tuple(r) for r in registry.queries()["similar_titles"](spark, SF).select("q", "k", "ratio").collect()]
+    assert len(got) == len(want) and set(got) == want
+    assert any(q[:3] != k[:3] for q, k, _ in want)
+
+
+def test_ratio_candidates_of_all_lengths(spark):
+    import difflib
+    import random
+
+    from strataloom.operators import linkage
+
+    rng = random.Random(6)
+    names = sorted({"".join(rng.choices("ab", k=rng.randrange(0, 14))) for _ in range(120)})
+    keys, asked = names[::2], names[1::2]
+    for cutoff in (0.6, 0.8):
+        want = {(q, k) for q in asked for k in keys if difflib.SequenceMatcher(None, k, q).ratio() >= cutoff}
+        frames = [spark.createDataFrame([(x,) for x in xs], f"{c} string") for c, xs in (("q", asked), ("k", keys))]
+        got = linkage.ratio_candidates(*frames, "q", "k", cutoff, 1000).collect()
+        assert len(got) == len(want) and {(r["q"], r["k"]) for r in got} == want
