@@ -140,3 +140,11 @@ def test_ratio_candidates_of_all_lengths(spark):
         frames = [spark.createDataFrame([(x,) for x in xs], f"{c} string") for c, xs in (("q", asked), ("k", keys))]
         got = linkage.ratio_candidates(*frames, "q", "k", cutoff, 1000).collect()
         assert len(got) == len(want) and {(r["q"], r["k"]) for r in got} == want
+
+
+def test_unicode_order_is_whole(spark, tmp_path):
+    rest = ["zz" + "".join(chr(97 + i // 26**p % 26) for p in (2, 1, 0)) for i in range(1000)]
+    want = ["apfel", "Apfel", "Äpfel", "eclair", "éclair", "eclairs", "œuvre", "ou", "straße", "strategy", "zebra", "Zug", *rest, "Ωmega"]
+    texts = [(i, " ".join(["no1", "a,b", *want[i::7], *want[i::3]])) for i in range(7)]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert [r["w"] for r in registry.queries()["unicode_order"](spark, str(tmp_path)).collect()] == want
