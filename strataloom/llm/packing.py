@@ -47,7 +47,8 @@ def encoder(exact: str, ranks: str):
 
     ``ranks`` is the same vocabulary for a faster byte-pair encoder; it serves
     texts of Latin-1 characters, on which both are tested to agree character
-    class by character class.  All other texts go through the tokenizer file.
+    class by character class.  All other texts, and those that hold an added
+    token of the file, which is one id, go through the tokenizer file.
     """
     import public_tokenizers
     import tiktoken
@@ -57,13 +58,15 @@ def encoder(exact: str, ranks: str):
         merges = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
     fast = tiktoken.Encoding("pieces", pat_str=public_tokenizers.PATTERN, mergeable_ranks=merges, special_tokens={})
     whole = Tokenizer.from_file(vocabulary_path(exact))
-    whole.encode_special_tokens = True
+    added = [x.content for x in whole.get_added_tokens_decoder().values()]
 
     def encode(text: str) -> list[int]:
         try:
             text.encode("latin-1")
         except UnicodeEncodeError:
             return whole.encode(text, add_special_tokens=False).ids
+        if any(x in text for x in added):
+            return whole.encode(text, add_special_tokens=False).ids
         return fast.encode_ordinary(text)
 
     return encode

@@ -98,3 +98,16 @@ def test_fast_encoder_agrees():
     for a in chars:
         text = "".join(f"{a}{b} {a}x{b}1 {b}{b}{a}" for b in chars)
         assert fast(text) == exact.encode(text, add_special_tokens=False).ids, repr(a)
+
+
+def test_added_tokens_are_those_of_the_file(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    exact = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["foo <|endoftext|> bar", "<|endoftext|>", "<|endoftext|><|endoftext|>中文", "<|endoftext|", "no such token"]
+    want = [exact.encode(t, add_special_tokens=False).ids for t in texts]
+    encode = packing.encoder("byte_bpe_50k.json", "byte_bpe_50k.tiktoken")
+    assert [encode(t) for t in texts] == want and [len(x) for x in want[:2]] == [4, 1]
+    rows = packing.pack(frame(spark, list(enumerate(texts)))).collect()
+    assert {r["doc_id"]: r["doc_tokens"] for r in rows} == {i: len(x) + 1 for i, x in enumerate(want)}
