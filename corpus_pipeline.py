@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataloom.llm import decontamination, jaccard, packing, quality, templates
-from strataloom.session import durable, sweep
+from strataloom.session import discard, durable, scope
 from strataloom.sources.tables import table
 
 
@@ -43,22 +43,12 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs)
 
 
-def _tidy(stage):
-    """A stage that first deletes what earlier stages left in the shared folder and its docs do not read."""
-
-    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        sweep(spark, docs)
-        return stage(spark, docs, sf_dir)
-
-    return run_stage
-
-
 STAGES = [
-    ("quality_rules", _tidy(quality_rules)),
-    ("line_dedup", _tidy(line_dedup)),
-    ("near_duplicates", _tidy(near_duplicates)),
-    ("decontaminate", _tidy(decontaminate)),
-    ("pack", _tidy(pack)),
+    ("quality_rules", quality_rules),
+    ("line_dedup", line_dedup),
+    ("near_duplicates", near_duplicates),
+    ("decontaminate", decontaminate),
+    ("pack", pack),
 ]
 
 #: The rules are learned and the tokens come from a vocabulary file, which SQL cannot express.
@@ -66,8 +56,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply all stages to the documents of sf_dir, each written and read again."""
+    """Apply all stages to the documents of sf_dir, each written and read again.
+
+    Tables that a stage made on its way go when its result is written, and a
+    stage's result when the next one is; no table of another call is touched.
+    """
     docs = table(spark, sf_dir, "documents")
+    own = []
     for name, stage in STAGES[:-1]:
-        docs = durable(stage(spark, docs, sf_dir), name)
+        with scope() as end:
+            docs = durable(stage(spark, docs, sf_dir), name)
+            end(docs)
+        discard(*own)
+        own = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import gc
 import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -50,20 +51,33 @@ def _tables(spark: SparkSession) -> str:
     return f"{shared_dir(spark).rstrip('/')}/strataloom/{spark.sparkContext.applicationId}"
 
 
+#: Tables written since each open scope began, innermost last.
+_SCOPES: list[list[DataFrame]] = []
+#: The setting by which Spark removes shuffle files of an execution when it ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def durable(df: DataFrame, label: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back.
 
     The plan above starts from files: losing an executor costs no more than the
     tasks it ran, and the columns that a later step leaves out are not read.
-    Shuffle files of the step go as soon as it is written: Spark's cleaner
-    removes them once the driver has collected what refers to them.
+    The shuffle files of the step go when the write ends, since nothing but that
+    write reads them.  The table belongs to the innermost open ``scope``, or else
+    stays until its owner discards it.
     """
     spark = df.sparkSession
     path = f"{_tables(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _collect(spark)
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     table = spark.read.schema(df.schema).parquet(path)
     table._durable_path = path
+    if _SCOPES:
+        _SCOPES[-1].append(table)
     return table
 
 
@@ -75,22 +89,28 @@ def discard(*tables: DataFrame) -> None:
         where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def _collect(spark: SparkSession) -> None:
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+@contextmanager
+def scope() -> Iterator[Callable[..., None]]:
+    """Own the tables that durable() writes inside; the function given ends them, but for those named.
 
-
-def sweep(spark: SparkSession, *keep: DataFrame) -> None:
-    """Delete all tables that durable() wrote in this application but those that ``keep`` read."""
-    jvm, root = spark.sparkContext._jvm, _tables(spark)
-    used = {f.rsplit("/", 2)[-2] for df in keep for f in df.inputFiles()}
-    where = jvm.org.apache.hadoop.fs.Path(root)
-    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if files.exists(where):
-        for status in files.listStatus(where):
-            if status.getPath().getName() not in used:
-                files.delete(status.getPath(), True)
-    _collect(spark)
+    Only tables of this scope are deleted, so results that other calls in the
+    same application still read are left alone.  Those kept, and all of them if
+    the function is not called, pass to the scope around this one.
+    """
+    made: list[DataFrame] = []
+
+    def end(*keep: DataFrame) -> None:
+        paths = {t._durable_path for t in keep}
+        discard(*(t for t in made if t._durable_path not in paths))
+        made[:] = keep
+
+    _SCOPES.append(made)
+    try:
+        yield end
+    finally:
+        _SCOPES.pop()
+        if _SCOPES:
+            _SCOPES[-1].extend(made)
 
 
 def ship(spark: SparkSession) -> None:
