@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataloom.session import durable
+from strataloom.session import discard, durable
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -14,7 +14,8 @@ def components(links: DataFrame) -> DataFrame:
     Large-star and small-star steps by turns: each node's neighbours are joined
     to the smallest of them, which halves distances.  A hub is only ever a
     minimum over rows, which is combined before it is shuffled.  Every round is
-    written to the shared folder; rounds end when the links no longer change.
+    written to the shared folder, and the one before it goes; rounds end when
+    the links no longer change.
     """
     edges = durable(_once(links.select(F.col("a").alias("x"), F.col("b").alias("y"))), "links")
     before = None
@@ -23,12 +24,15 @@ def components(links: DataFrame) -> DataFrame:
         large = _star(both, F.col("y") > F.col("x"))
         small = durable(_star(_once(large), F.lit(True)), "links")
         state = small.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("x", "y").cast("decimal(38,0)")), F.lit(0))).first()
+        discard(edges)
         if state == before:
             break
         before, edges = state, small
     # at rest every link runs from a node to the smallest of its component
     low = small.select(F.col("x").alias("node"), F.col("y").alias("component"))
-    return low.unionByName(low.select(F.col("component").alias("node"), "component")).distinct()
+    found = low.unionByName(low.select(F.col("component").alias("node"), "component")).distinct()
+    found._durable_path = small._durable_path  # the one table it reads, for its owner to discard
+    return found
 
 
 def _once(pairs: DataFrame) -> DataFrame:

@@ -4,13 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SPACE = r"[\x20\x09-\x0D]+"
 BLOCK = 256
 
 
+def fresh(docs: DataFrame, name: str) -> str:
+    """A column name like ``name`` that docs does not have, whatever its case."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value computed once a row, also where body uses it in a loop."""
     return F.transform(F.array(value), body).getItem(0)

@@ -25,8 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strataloom.llm.exprs import SPACE, let
-from strataloom.session import discard, durable, ship
+from strataloom.llm.exprs import SPACE, fresh, let
+from strataloom.session import discard, durable, scope, ship
 
 #: Documents from which on a template recurs, and least tokens of a line that can be dropped.
 MIN_DOCS = 10
@@ -212,16 +212,19 @@ def strip(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     comes after all others and is never the one that keeps a line unless it is
     the only one; an empty table gives no rows; other columns stay as they are.
     """
-    drop, _ = recurring(docs, min_docs)
+    id_, hash_, gone_id, gone_hash, at = (fresh(docs, x) for x in ("line_id", "line_hash", "gone_id", "gone_hash", "gone_at"))
+    with scope() as end:
+        drop = durable(recurring(docs, min_docs)[0], "drop")
+        end(drop)
     key = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-    marked = docs.withColumns({"__hash": key, "__id": F.col("doc_id").cast("long")})
-    gone = drop.select(F.col("doc_id").alias("__gone_id"), F.col("text_hash").alias("__gone_hash"), F.sort_array("at").alias("__at"))
-    both = marked.join(gone, F.col("__id").eqNullSafe(F.col("__gone_id")) & (F.col("__hash") == F.col("__gone_hash")), "left")
+    marked = docs.withColumns({hash_: key, id_: F.col("doc_id").cast("long")})
+    gone = drop.select(F.col("doc_id").alias(gone_id), F.col("text_hash").alias(gone_hash), F.sort_array("at").alias(at))
+    both = marked.join(gone, F.col(id_).eqNullSafe(F.col(gone_id)) & (F.col(hash_) == F.col(gone_hash)), "left")
     split = F.split(F.col("text"), "\n")
-    kept = F.array_join(let(split, lambda s: F.filter(s, lambda _, i: ~F.array_contains(F.col("__at"), i))), "\n")
+    kept = F.array_join(let(split, lambda s: F.filter(s, lambda _, i: ~F.array_contains(F.col(at), i))), "\n")
     return both.select(
-        *[docs[c] if c != "text" else F.when(F.col("__at").isNull(), F.col("text")).otherwise(kept).alias("text") for c in docs.columns],
+        *[docs[c] if c != "text" else F.when(F.col(at).isNull(), F.col("text")).otherwise(kept).alias("text") for c in docs.columns],
         F.coalesce(F.size(split), F.lit(0)).cast("long").alias("line_count"),
-        F.coalesce(F.size("__at"), F.lit(0)).cast("long").alias("lines_dropped"),
+        F.coalesce(F.size(at), F.lit(0)).cast("long").alias("lines_dropped"),
         F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)).alias("had_words"),
     )
