@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strataloom.llm.exprs import let, words
+from strataloom.session import durable, scope
 
 #: Labelled rows that a fit may collect; those with the smallest hash of doc_id are taken.
 FIT_ROWS = 20_000
@@ -190,16 +191,19 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> list[list[T
     )
     s = F.col("s")
     columns = features(s)
-    found = (
-        docs.select("doc_id", "text")
-        .join(F.broadcast(taken), "doc_id")
-        .select("doc_id", "quality", statistics(F.col("text")).alias("s"))
-        .filter(~base_failed(s))
-        .select((F.col("quality") == 0).cast("int").alias("bad"), (F.pmod(F.xxhash64("doc_id"), F.lit(3)) == 0).alias("apart"), *[c.alias(n) for n, c in columns.items()])
-        .orderBy("bad", *columns)
-        .limit(rows)
-    )
-    return learn([r.asDict() for r in found.collect()], list(columns))
+    with scope() as end:
+        # written before they are measured, or the statistics would be pushed below the join to all documents
+        few = durable(docs.select("doc_id", "text").join(F.broadcast(taken), "doc_id"), "fit")
+        found = (
+            few.select("doc_id", "quality", statistics(F.col("text")).alias("s"))
+            .filter(~base_failed(s))
+            .select((F.col("quality") == 0).cast("int").alias("bad"), (F.pmod(F.xxhash64("doc_id"), F.lit(3)) == 0).alias("apart"), *[c.alias(n) for n, c in columns.items()])
+            .orderBy("bad", *columns)
+            .limit(rows)
+            .collect()
+        )
+        end()
+    return learn([r.asDict() for r in found], list(columns))
 
 
 def verdict(s: Column, rules: list[list[Test]]) -> Column:

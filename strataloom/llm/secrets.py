@@ -64,47 +64,42 @@ def _spans(text: Column, pattern: str, rank: int, length: int = 0) -> Column:
     return F.when(text.rlike(pattern), got).otherwise(F.array().cast(SPAN))
 
 
-def _surprise(n: Column) -> Column:
-    """n log2 n, the part of a character with n occurrences in a window's entropy."""
-    return F.when(n > 0, n * F.log2(n)).otherwise(F.lit(0.0))
-
-
-def _count(window: Column, char: Column) -> Column:
-    return (F.length(window) - F.length(F.replace(window, char, F.lit("")))).cast("double")
-
-
 def window_range(candidate: Column, width: int, bits: Column) -> Column:
     """(first, last) start, from 0, of the windows of a candidate whose entropy reaches ``bits``; nulls without one.
 
-    The sum of n log2 n over a window's characters is kept while the window
-    slides: only the counts of the character that leaves and of the one that
-    enters change.
+    The counts of the characters (ASCII) are kept while the window slides, as a
+    string with one character a count, and with them the sum of n log2 n: only
+    the counts of the character that leaves and of the one that enters change.
     """
     limit = width * (math.log2(width) - bits)  # entropy >= bits: the sum is at most this
-    first = F.substring(candidate, 1, width)
-    letters = F.array_distinct(F.split(first, ""))
-    start = F.aggregate(letters, F.lit(0.0), lambda a, c: a + F.when(c == "", F.lit(0.0)).otherwise(_surprise(_count(first, c))))
+    part = F.array(*[F.lit(n * math.log2(n) if n else 0.0) for n in range(width + 2)])
+
+    def moved(held: Column, total: Column, char: Column, by: int) -> Column:
+        """The counts and the sum once ``char`` has entered (by 1) or left (by -1)."""
+        at = F.ascii(char) + 1
+        return let(
+            F.ascii(F.substr(held, at, F.lit(1))) - 65,
+            lambda n: F.struct(F.overlay(held, F.char(n + 65 + by), at, F.lit(1)).alias("held"), (total - F.get(part, n) + F.get(part, n + by)).alias("sum")),
+        )
 
     def step(state: Column, i: Column) -> Column:
-        # between the windows that start at i - 1 and i (from 0) lie width - 1 common characters
-        shared = F.substr(candidate, i + 1, F.lit(width - 1))
-        gone, come = F.substr(candidate, i, F.lit(1)), F.substr(candidate, i + width, F.lit(1))
+        gone = lambda: moved(state["held"], state["sum"], F.substr(candidate, i - width + 1, F.lit(1)), -1)
+        left = F.when(i >= width, gone()).otherwise(F.struct(state["held"].alias("held"), state["sum"].alias("sum")))
+        full = lambda s: (i >= width - 1) & (s["sum"] <= limit)
+        start = i - (width - 1)
         return let(
-            F.struct(_count(shared, gone).alias("g"), _count(shared, come).alias("c")),
-            lambda n: let(
-                state["sum"] - _surprise(n["g"] + 1) + _surprise(n["g"]) - _surprise(n["c"]) + _surprise(n["c"] + 1),
-                lambda s: F.struct(
-                    s.alias("sum"),
-                    F.when(s <= limit, F.coalesce(state["first"], i)).otherwise(state["first"]).alias("first"),
-                    F.when(s <= limit, i).otherwise(state["last"]).alias("last"),
-                ),
+            let(left, lambda s: moved(s["held"], s["sum"], F.substr(candidate, i + 1, F.lit(1)), 1)),
+            lambda s: F.struct(
+                s["held"].alias("held"),
+                s["sum"].alias("sum"),
+                F.when(full(s), F.coalesce(state["first"], start)).otherwise(state["first"]).alias("first"),
+                F.when(full(s), start).otherwise(state["last"]).alias("last"),
             ),
         )
 
-    at = lambda s: F.when(s <= limit, F.lit(0)).cast("int")
-    begin = let(start, lambda s: F.struct(s.alias("sum"), at(s).alias("first"), at(s).alias("last")))
-    moves = F.when(F.length(candidate) > width, F.sequence(F.lit(1), F.length(candidate) - width)).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(moves, begin, step, lambda s: F.struct(s["first"].alias("first"), s["last"].alias("last")))
+    none = F.lit(None).cast("int")
+    begin = F.struct(F.lit("A" * 128).alias("held"), F.lit(0.0).alias("sum"), none.alias("first"), none.alias("last"))
+    return F.aggregate(F.sequence(F.lit(0), F.length(candidate) - 1), begin, step, lambda s: F.struct(s["first"].alias("first"), s["last"].alias("last")))
 
 
 def _entropy(text: Column, base: Column) -> Column:
