@@ -1,22 +1,26 @@
 """Benchmark decontamination by SimHash windows and multi-index Hamming blocks.
 
-For every benchmark item a document is looked at through windows of the item's
-length in words.  A window gets a SimHash of its weighted word shingles.  The
-item fingerprints are indexed by blocks of bits: with one block more than the
-radius, fingerprints within the radius agree on some block, so looking up all
-blocks of a window finds every item within the radius.  Items found are verified
-by the exact weighted Jaccard similarity of the shingle multisets.
-
-Before fingerprints are made, two exact bounds leave out windows that cannot
-reach the similarity: what a document, and then a window, shares with an item
-must weigh at least ``similarity`` times the item.
+For every length in words that benchmark items have, a document is looked at
+through windows of that length.  A window gets a SimHash of its weighted word
+shingles.  Fingerprints of BITS bits are indexed in BLOCKS blocks: if two differ
+in at most RADIUS bits, some block differs in at most FLIPS, so looking up each
+block of a window with up to FLIPS bits changed finds every item within the
+radius.  A part of the flips is stored with the items, the rest is probed.
+Items found are verified by the exact weighted Jaccard similarity of the shingle
+multisets, with weights counted over the whole benchmark.
+
+Which items a window is held against is for the fingerprints to say.  One exact
+bound goes before them and names no item: a window has to hold as much weight in
+shingles of the benchmark, whichever item they are of, as ``similarity`` times
+the lightest item of its length.
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -24,15 +28,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataloom.llm import tokens
-from strataloom.session import ship
+from strataloom.session import durable, ship
 
 SHINGLE = 5
 SIMILARITY = 0.8
-BITS = 64
-#: At similarity 0.8 two fingerprints of 64 bits differ in 9.7 bits on average; 20 is 3.6 deviations above.
-RADIUS = 20
+#: At similarity 0.8 two fingerprints of 128 bits differ in 19.4 bits on average; 31 is 2.9 deviations above.
+BITS, BLOCKS, FLIPS = 128, 8, 3
+RADIUS = BLOCKS * (FLIPS + 1) - 1
+#: Flips of a block that are stored with the items.
+STORED = 2
 #: Bytes of item texts in one broadcast index; a larger benchmark is taken in blocks of that size.
-INDEX_BYTES = 8 << 20
+INDEX_BYTES = 4 << 20
+#: Shingles whose fingerprint sums, and windows whose candidates, are in memory at once.
+PIECE, PROBES = 1 << 15, 1 << 13
+#: Weights are whole multiples of 1 / GRAIN in fingerprints, so that sums are exact.
+GRAIN = 256
 
 
 def shingles(hashes: np.ndarray) -> np.ndarray:
@@ -43,14 +53,24 @@ def shingles(hashes: np.ndarray) -> np.ndarray:
     return tokens.windows(hashes, np.array([0, n]), min(SHINGLE, n))[0]
 
 
-def signs(values: np.ndarray) -> np.ndarray:
-    """+1 or -1 for each bit of each hash."""
-    bits = np.unpackbits(tokens.mix(values ^ np.uint64(0x5BD1E995)).view(np.uint8).reshape(-1, 8), axis=1)
-    return bits.astype(np.float64) * 2 - 1
+def sums(values: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Running sums, from 0, of each bit's weighted signs."""
+    halves = [tokens.mix(values ^ np.uint64(salt)) for salt in (0x5BD1E995, 0x27D4EB2F165667C5)]
+    bits = np.unpackbits(np.stack(halves, axis=1).view(np.uint8).reshape(-1, BITS // 8), axis=1)
+    out = np.zeros((len(values) + 1, BITS), np.int32)
+    np.cumsum((bits.astype(np.int32) * 2 - 1) * np.rint(weight * GRAIN).astype(np.int32)[:, None], axis=0, out=out[1:])
+    return out
+
 
+def prints_of(total: np.ndarray) -> np.ndarray:
+    """Fingerprints as rows of BLOCKS numbers."""
+    return np.packbits(total > 0, axis=1, bitorder="little").view(np.uint16).reshape(-1, BLOCKS)
 
-def fingerprints(sums: np.ndarray) -> np.ndarray:
-    return np.packbits(sums > 0, axis=1).view(np.uint64).ravel()
+
+def flips(most: int) -> np.ndarray:
+    """All numbers of one block's bits with at most so many bits set."""
+    n = BITS // BLOCKS
+    return np.array([sum(1 << b for b in bits) for k in range(most + 1) for bits in combinations(range(n), k)], np.uint16)
 
 
 def weighted_jaccard(a: Counter, b: Counter, weight) -> float:
@@ -59,121 +79,165 @@ def weighted_jaccard(a: Counter, b: Counter, weight) -> float:
     return low / high if high else 0.0
 
 
+@dataclass
+class Item:
+    """An item's distinct shingles, sorted, how often it has each, their weights, and their sum."""
+
+    id: int
+    n_words: int
+    shingle: np.ndarray
+    count: np.ndarray
+    weight: np.ndarray
+    total: float
+
+    @classmethod
+    def of(cls, id_, n_words: int, bag: dict[int, int], weights: dict[int, float]) -> "Item":
+        known = sorted(bag)
+        count, weight = np.array([bag[s] for s in known]), np.array([weights.get(s, 1.0) for s in known])
+        return cls(id_, n_words, np.array(known, np.uint64), count, weight, float((count * weight).sum()))
+
+    def similarity(self, window: np.ndarray, weight: np.ndarray) -> float:
+        """Weighted Jaccard similarity with a window of shingles of these weights."""
+        at = np.minimum(np.searchsorted(self.shingle, window), len(self.shingle) - 1)
+        have = np.bincount(at[self.shingle[at] == window], minlength=len(self.shingle))
+        low = float((np.minimum(have, self.count) * self.weight).sum())
+        return low / (float(weight.sum()) + self.total - low)
+
+
+class Blocks:
+    """The multi-index over the fingerprints of some items."""
+
+    def __init__(self, prints: np.ndarray) -> None:
+        self.prints = prints
+        self.tables = []
+        for b in range(BLOCKS):
+            key = (prints[:, b][:, None] ^ flips(STORED)).ravel()
+            order = np.argsort(key, kind="stable")
+            self.tables.append((key[order], order // len(flips(STORED))))
+
+    def within(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row of wanted, item, distance) of all pairs within the radius, sorted."""
+        n, probes = len(self.prints), flips(FLIPS - STORED)
+        found = [np.zeros(0, np.int64)]
+        for b, (key, item) in enumerate(self.tables):
+            probe = (wanted[:, b][:, None] ^ probes).ravel()
+            lo = np.searchsorted(key, probe)
+            size = np.searchsorted(key, probe, "right") - lo
+            hit = np.flatnonzero(size)
+            place = np.repeat(lo[hit], size[hit]) + np.arange(size[hit].sum()) - np.repeat(np.cumsum(size[hit]) - size[hit], size[hit])
+            found.append(np.unique(np.repeat(hit // len(probes), size[hit]) * n + item[place]))
+        row, item = np.divmod(np.unique(np.concatenate(found)), n)
+        distance = np.bitwise_count(wanted[row] ^ self.prints[item]).sum(axis=1)
+        near = distance <= RADIUS
+        return row[near], item[near], distance[near]
+
+
 @dataclass
 class Index:
     """Items of one block of the benchmark."""
 
-    ids: list
-    words: np.ndarray
-    bags: list[Counter]
-    total: np.ndarray
-    prints: np.ndarray
+    items: list[Item]
+    prints: list[int]
     shingle: np.ndarray
     weight: np.ndarray
-    weights: dict[int, float]
-    owner: list[np.ndarray]
-    blocks: list[dict[int, list[int]]]
+    lengths: dict[int, tuple[np.ndarray, Blocks, float]]  # items of a length in words, and the least weight of one
 
     @classmethod
     def of(cls, items: list[tuple], weights: dict[int, float]) -> "Index":
-        ids, bags, words = [], [], []
-        for item, text in items:
-            got = tokens.scan(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text.encode())]), True)
+        """items are (id, text)."""
+        made = []
+        for id_, text in items:
+            data = text.encode()
+            got = tokens.scan(np.frombuffer(data, np.uint8), np.array([0, len(data)]), True)
             bag = Counter(shingles(got.hashes()).tolist())
             if bag:
-                ids.append(item)
-                bags.append(bag)
-                words.append(len(got.start))
-        known = np.array(sorted({s for b in bags for s in b}), np.uint64)
-        weight = np.array([weights.get(int(s), 1.0) for s in known])
-        owners: list[list[int]] = [[] for _ in known]
-        for i, bag in enumerate(bags):
-            for s in bag:
-                owners[int(np.searchsorted(known, np.uint64(s)))].append(i)
-        total = np.array([sum(weights.get(s, 1.0) * n for s, n in b.items()) for b in bags])
-        sums = [(signs(np.array(list(b), np.uint64)) * np.array([weights.get(s, 1.0) * n for s, n in b.items()])[:, None]).sum(0) for b in bags]
-        prints = fingerprints(np.array(sums)) if sums else np.zeros(0, np.uint64)
-        blocks: list[dict[int, list[int]]] = [{} for _ in range(RADIUS + 1)]
-        for i, p in enumerate(prints.tolist()):
-            for b, (lo, n) in enumerate(cls.cuts()):
-                blocks[b].setdefault((p >> lo) & ((1 << n) - 1), []).append(i)
-        return cls(ids, np.array(words, np.int64), bags, total, prints, known, weight, weights, [np.array(o) for o in owners], blocks)
-
-    @staticmethod
-    def cuts() -> list[tuple[int, int]]:
-        """(first bit, bits) of RADIUS + 1 blocks."""
-        edge = [BITS * i // (RADIUS + 1) for i in range(RADIUS + 2)]
-        return [(a, b - a) for a, b in zip(edge, edge[1:])]
+                made.append(Item.of(id_, len(got.start), bag, weights))
+        return cls.build(made)
+
+    @classmethod
+    def build(cls, items: list[Item]) -> "Index":
+        every = np.concatenate([np.zeros(0, np.uint64), *(i.shingle for i in items)])
+        shingle, first = np.unique(every, return_index=True)
+        weight = np.concatenate([np.zeros(0), *(i.weight for i in items)])[first]
+        totals = [sums(np.repeat(i.shingle, i.count), np.repeat(i.weight, i.count))[-1] for i in items]
+        prints = prints_of(np.array(totals).reshape(-1, BITS))
+        lengths = {}
+        for n in sorted({i.n_words for i in items}):
+            at = np.array([j for j, i in enumerate(items) if i.n_words == n])
+            lengths[n] = (at, Blocks(prints[at]), min(items[j].total for j in at))
+        return cls(items, [int.from_bytes(p.tobytes(), "little") for p in prints], shingle, weight, lengths)
 
     def near(self, print_: int) -> list[tuple[int, int]]:
         """(distance, item) of all items within the radius, nearest first."""
-        found = {i for b, (lo, n) in enumerate(self.cuts()) for i in self.blocks[b].get((print_ >> lo) & ((1 << n) - 1), ())}
-        return sorted((d, i) for i in found if (d := (print_ ^ int(self.prints[i])).bit_count()) <= RADIUS)
+        row = np.frombuffer(print_.to_bytes(BITS // 8, "little"), np.uint16)[None]
+        found = []
+        for at, blocks, _ in self.lengths.values():
+            _, item, distance = blocks.within(row)
+            found += zip(distance.tolist(), at[item].tolist())
+        return sorted(found)
 
     def weigh(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For each shingle its place among those of items (or -1) and its weight."""
+        """For each shingle whether an item has it, and its weight."""
         if not len(self.shingle) or not len(values):
-            return np.full(len(values), -1), np.ones(len(values))
+            return np.zeros(len(values), bool), np.ones(len(values))
         at = np.minimum(np.searchsorted(self.shingle, values), len(self.shingle) - 1)
         hit = self.shingle[at] == values
-        return np.where(hit, at, -1), np.where(hit, self.weight[at], 1.0)
-
+        return hit, np.where(hit, self.weight[at], 1.0)
 
-def match(values: np.ndarray, n_words: int, index: Index, similarity: float) -> list[tuple]:
-    """(item, first word, words, similarity, distance) of the best window of each item that one document leaks."""
-    place, weight = index.weigh(values)
-    hit = np.flatnonzero(place >= 0)
-    if not len(hit):
-        return []
-    shared: Counter = Counter()
-    for p in np.unique(place[hit]).tolist():
-        for i in index.owner[p].tolist():
-            shared[i] += index.weight[p] * index.bags[i][int(index.shingle[p])]
-    out = []
-    for item, weighs in shared.items():
-        least = similarity * index.total[item]
-        if weighs < least - 1e-9:
-            continue
-        size = int(index.words[item])
-        span = min(size, n_words)
-        wide = max(1, span - SHINGLE + 1)  # shingles in a window
-        own = np.array([p >= 0 and item in index.owner[p] for p in place.tolist()])
-        mass = np.concatenate([[0.0], np.cumsum(np.where(own, weight, 0.0))])
-        starts = np.arange(len(values) - wide + 1) if len(values) >= wide else np.zeros(0, int)
-        starts = starts[mass[starts + wide] - mass[starts] >= least - 1e-9]
-        best = None
-        for s in starts.tolist():
-            window, w = values[s : s + wide], weight[s : s + wide]
-            print_ = int(fingerprints((signs(window) * w[:, None]).sum(0)[None])[0])
-            distance = next((d for d, i in index.near(print_) if i == item), None)
-            if distance is None:
-                continue
-            got = weighted_jaccard(Counter(window.tolist()), index.bags[item], lambda x: index.weights.get(x, 1.0))
-            if got >= similarity - 1e-9 and (best is None or got > best[3] + 1e-12):
-                best = (index.ids[item], s, span, got, distance)
-        if best:
-            out.append(best)
-    return out
 
+def match(values: np.ndarray, first: np.ndarray, n_words: np.ndarray, index: Index, similarity: float) -> list[tuple]:
+    """(document, item, first word, words, similarity, distance) of the best window of each item that a document leaks.
 
-def _search(index: Index, similarity: float):
+    Document d has n_words[d] words and the shingles values[first[d]:first[d+1]].
+    """
+    hit, weight = index.weigh(values)
+    mass = np.concatenate([[0.0], np.cumsum(np.where(hit, weight, 0.0))])
+    least = similarity * min((low for _, _, low in index.lengths.values()), default=np.inf) - 1e-9
+    alive = np.flatnonzero((mass[first[1:]] - mass[first[:-1]] >= least) & (first[1:] > first[:-1]))
+    if not len(alive):
+        return []
+    doc = np.repeat(alive, np.diff(first)[alive])
+    place = np.concatenate([np.arange(first[d], first[d + 1]) for d in alive.tolist()])
+    longest = max(index.lengths)
+    best: dict[tuple[int, int], tuple] = {}
+    for lo in range(0, len(place), PIECE):
+        start, of = place[lo : lo + PIECE], doc[lo : lo + PIECE]
+        upto = min(len(place), lo + PIECE + longest)
+        total = sums(values[place[lo:upto]], weight[place[lo:upto]])
+        room = first[of + 1] - start  # shingles from here to the end of the document
+        for n, (at, blocks, low) in index.lengths.items():
+            span = np.minimum(n, n_words[of])
+            wide = np.maximum(1, span - SHINGLE + 1)
+            fits = np.flatnonzero(wide <= room)
+            heavy = mass[start[fits] + wide[fits]] - mass[start[fits]] >= similarity * low - 1e-9
+            rows = fits[heavy]
+            for some in np.split(rows, range(PROBES, len(rows), PROBES)):
+                prints = prints_of(total[some + wide[some]] - total[some])
+                for w, i, distance in zip(*(x.tolist() for x in blocks.within(prints))):
+                    s, e = int(start[some[w]]), int(start[some[w]] + wide[some[w]])
+                    item = index.items[int(at[i])]
+                    got = item.similarity(values[s:e], weight[s:e])
+                    key = (int(of[some[w]]), int(at[i]))
+                    if got >= similarity - 1e-9 and (key not in best or got > best[key][4] + 1e-12):
+                        best[key] = (key[0], item.id, s - int(first[key[0]]), int(span[some[w]]), got, distance)
+    return [best[k] for k in sorted(best)]
+
+
+def _search(index: Callable[[], Index], similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        short = bool((index.words < SHINGLE).any())
+        known = index()
+        short = any(n < SHINGLE for n in known.lengths)
         for batch in batches:
             rows = []
             ids = batch.column("doc_id").to_pylist()
             for lo, hi, words in tokens.slices(batch.column("text"), True):
-                hashes = words.hashes()
+                hashes, n = words.hashes(), words.counts()
                 values, at = tokens.windows(hashes, words.first, SHINGLE)
-                doc = words.doc()[at]
-                hit = np.unique(doc[index.weigh(values)[0] >= 0])
-                brief = np.flatnonzero((words.counts() < SHINGLE) & (words.counts() > 0)) if short else np.zeros(0, int)
-                for d in hit.tolist():
-                    mine = values[np.searchsorted(doc, d) : np.searchsorted(doc, d, "right")]
-                    rows += [(ids[lo + d], *m) for m in match(mine, int(words.counts()[d]), index, similarity)]
-                for d in brief.tolist():
-                    own = hashes[words.first[d] : words.first[d + 1]]
-                    rows += [(ids[lo + d], *m) for m in match(shingles(own), len(own), index, similarity)]
+                first = np.searchsorted(at, words.first)
+                rows += [(ids[lo + d], *m) for d, *m in match(values, first, n, known, similarity)]
+                for d in np.flatnonzero((n < SHINGLE) & (n > 0)).tolist() if short else ():
+                    own = shingles(hashes[words.first[d] : words.first[d + 1]])
+                    rows += [(ids[lo + d], *m[1:]) for m in match(own, np.array([0, len(own)]), n[d : d + 1], known, similarity)]
             columns = list(zip(*rows)) if rows else [[]] * 6
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int32()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["doc_id", "item_id", "first_word", "n_words", "similarity", "distance"])
@@ -184,57 +248,84 @@ def _search(index: Index, similarity: float):
 LEAKS = "doc_id long, item_id long, first_word long, n_words long, similarity double, distance int"
 
 
+def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Items (item_id, text) -> their shingles: item_id, n_words, size of the text, shingle, count."""
+    for batch in batches:
+        out = []
+        for id_, text in zip(batch.column("item_id").to_pylist(), batch.column("text").to_pylist()):
+            data = text.encode()
+            got = tokens.scan(np.frombuffer(data, np.uint8), np.array([0, len(data)]), True)
+            value, count = np.unique(shingles(got.hashes()), return_counts=True)
+            out += [(id_, len(got.start), len(data), v, c) for v, c in zip(value.view(np.int64).tolist(), count.tolist())]
+        columns = list(zip(*out)) if out else [[]] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["item_id", "n_words", "size", "shingle", "count"])
+
+
+def _texts(benchmark: DataFrame) -> DataFrame:
+    """Distinct texts, each under the smallest item_id that has it."""
+    return benchmark.filter(F.col("text").isNotNull()).groupBy("text").agg(F.min(F.col("item_id").cast("long")).alias("item_id"))
+
+
 def blocks_of(benchmark: DataFrame) -> list[Index]:
     """Indexes over all items, each over at most INDEX_BYTES of text (or one item).
 
-    Shingles weigh by how few items have them.  Items without a word find
-    nothing; of rows with the same text only the one with the smallest item_id
-    is kept, as all of them would find the same windows.
+    Shingles weigh by how few items of the whole benchmark have them, so what is
+    found does not depend on the cut.  Items without a word find nothing; equal
+    texts are one item, named by the smallest item_id.
     """
-    rows = (
-        benchmark.filter(F.col("text").isNotNull())
-        .groupBy("text")
-        .agg(F.min(F.col("item_id").cast("long")).alias("item_id"))
-        .orderBy("item_id", "text")
-        .toLocalIterator(prefetchPartitions=True)
-    )
+    ship(benchmark.sparkSession)
+    texts = _texts(benchmark).filter(F.col("item_id").isNotNull())
+    bags = durable(texts.select("item_id", "text").mapInArrow(_bags, "item_id long, n_words long, size long, shingle long, count long"), "bags")
+    n = bags.select("item_id").distinct().count()
+    frequency = bags.groupBy("shingle").agg(F.count("*").alias("items"))
+    weight = F.log1p(F.lit(n) / F.col("items")) / F.log1p(F.lit(float(n)))
+    rows = bags.join(frequency, "shingle").groupBy("item_id", "n_words", "size").agg(F.sort_array(F.collect_list(F.struct("shingle", "count", weight.alias("weight")))).alias("bag"))
     held, size, out = [], 0, []
-
-    def done() -> None:
-        counts: Counter = Counter()
-        for _, text in held:
-            data = text.encode()
-            counts.update(set(shingles(tokens.scan(np.frombuffer(data, np.uint8), np.array([0, len(data)]), True).hashes()).tolist()))
-        n = len(held)
-        out.append(Index.of(held, {s: float(np.log1p(n / c) / np.log1p(n)) for s, c in counts.items()}))
-
-    for r in rows:
-        held.append((r["item_id"], r["text"]))
-        size += len(r["text"].encode())
+    for r in rows.orderBy("item_id").toLocalIterator(prefetchPartitions=True):
+        bag = {x["shingle"] & (1 << 64) - 1: x for x in r["bag"]}
+        held.append(Item.of(r["item_id"], r["n_words"], {s: x["count"] for s, x in bag.items()}, {s: x["weight"] for s, x in bag.items()}))
+        size += r["size"]
         if size >= INDEX_BYTES:
-            done()
+            out.append(Index.build(held))
             held, size = [], 0
     if held:
-        done()
+        out.append(Index.build(held))
     return out
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def _sent(spark, index: Index) -> Callable[[], Index]:
+    shared = spark.sparkContext.broadcast(index)
+    return lambda: shared.value
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, every_id: bool = False) -> DataFrame:
     """One row per document and benchmark item it leaks: the best window.
 
     docs has doc_id and text, benchmark item_id and text.  Words are compared in
-    lower case (A-Z).  Null texts and items leak nothing; a repeated row of docs
-    gives its rows again; a null doc_id stays null; empty tables give no rows;
-    other columns are not used.  The benchmark is a stated set of queries: it is
-    broadcast in blocks of bounded size, and every block meets all documents.
+    lower case (A-Z).  Null texts and items, and items without an item_id, leak
+    nothing; items with equal texts are reported as the one of smallest item_id,
+    or each with ``every_id``; a repeated row of docs gives its rows again; a null doc_id stays null; empty tables give no rows;
+    other columns are not used.  An item of fewer than SHINGLE words is one
+    shingle and is only found in texts of as few words.  The benchmark is a
+    stated set of queries: it is broadcast in blocks of bounded size, and every
+    block meets all documents.
     """
-    ship(docs.sparkSession)
+    spark = docs.sparkSession
+    ship(spark)
     plain = docs.select(F.col("doc_id").cast("long"), "text")
     found = None
     for index in blocks_of(benchmark):
-        part = plain.mapInArrow(_search(index, similarity), LEAKS)
+        part = plain.mapInArrow(_search(_sent(spark, index), similarity), LEAKS)
         found = part if found is None else found.unionByName(part)
-    return found if found is not None else docs.sparkSession.createDataFrame([], LEAKS)
+    if found is None:
+        return spark.createDataFrame([], LEAKS)
+    if not every_id:
+        return found
+    known = benchmark.filter(F.col("item_id").isNotNull()).select(F.col("item_id").cast("long").alias("other"), "text").distinct()
+    twins = durable(known.join(_texts(benchmark), "text").filter("other <> item_id").select("item_id", "other"), "twins")
+    if twins.isEmpty():
+        return found
+    return found.unionByName(found.join(twins, "item_id").withColumn("item_id", F.col("other")).select(*found.columns))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -242,11 +333,11 @@ def clean(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY)
     ship(docs.sparkSession)
     kept = docs
     for index in blocks_of(benchmark):
-        kept = kept.mapInArrow(_drop(index, similarity), docs.schema)
+        kept = kept.mapInArrow(_drop(_sent(docs.sparkSession, index), similarity), docs.schema)
     return kept
 
 
-def _drop(index: Index, similarity: float):
+def _drop(index: Callable[[], Index], similarity: float):
     search = _search(index, similarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

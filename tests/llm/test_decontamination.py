@@ -92,3 +92,43 @@ def test_blocks_reach_the_radius():
             p ^= 1 << bit
         want = sorted((d, i) for i in range(50) if (d := (p ^ int(index.prints[i])).bit_count()) <= D.RADIUS)
         assert index.near(p) == want
+
+
+def test_cuts_of_the_benchmark_change_nothing(spark, monkeypatch):
+    """Weights are counted over all items, so any cut into blocks finds the same rows; and all ids of a text are reported."""
+    rng = random.Random(6)
+    shared = " ".join(f"c{i}" for i in range(12))
+    items = [(i, " ".join([shared, *(f"v{rng.randrange(60)}" for _ in range(rng.randrange(4, 30)))])) for i in range(40)]
+    items += [(100 + i, t) for i, t in items[:5]]
+    docs = []
+    for d in range(40):
+        words = items[d][1].split()
+        for _ in range(rng.randrange(3)):
+            words[rng.randrange(len(words))] = "zz"
+        docs.append((d, " ".join(["before", *words, "after"])))
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    want = by_hand(docs, items)
+    for size in (1 << 20, 900, 1):
+        monkeypatch.setattr(D, "INDEX_BYTES", size)
+        got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in D.leaks(frame(spark, docs), benchmark).collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    monkeypatch.setattr(D, "INDEX_BYTES", 900)
+    every = {(r["doc_id"], r["item_id"]) for r in D.leaks(frame(spark, docs), benchmark, every_id=True).collect()}
+    assert every == want.keys() | {(d, 100 + i) for d, i in want if i < 5}
+
+
+def test_recall_at_the_limit(spark):
+    """Windows whose similarity is just above the limit: at least 0.95 of them are found, and nothing below it."""
+    rng = random.Random(9)
+    items = [(i, " ".join(f"w{rng.randrange(3000)}" for _ in range(rng.randrange(20, 60)))) for i in range(80)]
+    docs = []
+    for d in range(1600):
+        words = items[d % 80][1].split()
+        for at in rng.sample(range(len(words)), rng.randrange(1, 3)):
+            words[at] = f"w{rng.randrange(3000)}"
+        docs.append((d, " ".join([f"b{rng.randrange(99)}" for _ in range(9)] + words)))
+    want = by_hand(docs, items)
+    border = {k for k, v in want.items() if v < 0.84}
+    got = {(r["doc_id"], r["item_id"]) for r in D.leaks(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got <= want.keys() and len(border) > 100
+    assert len(got & border) >= 0.95 * len(border) and len(got) >= 0.99 * len(want)
