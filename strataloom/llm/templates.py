@@ -216,10 +216,12 @@ def strip(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     with scope() as end:
         drop = durable(recurring(docs, min_docs)[0], "drop")
         end(drop)
+    # texts only move where the lines to drop are too many to be sent to them
+    size = drop.agg(F.count("*") + F.coalesce(F.sum(F.size("at")), F.lit(0))).first()[0]
     key = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
     marked = docs.withColumns({hash_: key, id_: F.col("doc_id").cast("long")})
     gone = drop.select(F.col("doc_id").alias(gone_id), F.col("text_hash").alias(gone_hash), F.sort_array("at").alias(at))
-    both = marked.join(gone, F.col(id_).eqNullSafe(F.col(gone_id)) & (F.col(hash_) == F.col(gone_hash)), "left")
+    both = marked.join(F.broadcast(gone) if size <= BROADCAST_ROWS else gone, F.col(id_).eqNullSafe(F.col(gone_id)) & (F.col(hash_) == F.col(gone_hash)), "left")
     split = F.split(F.col("text"), "\n")
     kept = F.array_join(let(split, lambda s: F.filter(s, lambda _, i: ~F.array_contains(F.col(at), i))), "\n")
     return both.select(
