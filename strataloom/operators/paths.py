@@ -93,3 +93,57 @@ def viterbi(rows: DataFrame, key: str, step: str, place: str, score: str, penalt
     count = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
     sorted_ = rows.select(F.col(key).cast("long"), F.col(step).cast("long"), F.col(place).cast("int"), F.col(score).cast("double")).repartition(count, key).sortWithinPartitions(key, step, place)
     return sorted_.mapInArrow(run, f"{key} long, {step} long, {place} int")
+
+
+def assigned(rows: DataFrame, key: str, place: str, score: str, heights: tuple[float, ...], names: tuple[str, ...], spread: float, most: int) -> DataFrame:
+    """(key, name, place): ``names`` put in order on places 0 to ``most`` - 1 of each key, with the largest total.
+
+    A name earns the score of its place (0 where there is no row); a gap between
+    neighbours is from 0.45 to 1.75 of the height of the first and costs half
+    its squared departure from it, in units of ``spread`` times the height.  Of
+    equal totals the one through smaller places.  A key is one vector of places.
+    """
+    ship(rows.sparkSession)
+
+    def best(found: list[tuple]) -> list[int]:
+        gain = np.zeros(most)
+        for p, v in found:
+            if 0 <= p < most:
+                gain[p] += v
+        total, back = gain.copy(), []
+        for h in heights:
+            reach, came = np.full(most, -np.inf), np.zeros(most, int)
+            for gap in range(int(round(1.75 * h)), int(round(0.45 * h)) - 1, -1):  # the widest first, so ties keep the smaller place
+                cost = 0.5 * ((gap - h) / (spread * h)) ** 2
+                tried = np.full(most, -np.inf)
+                tried[gap:] = total[: most - gap] - cost
+                better = tried > reach
+                reach[better], came[better] = tried[better], np.flatnonzero(better) - gap
+            back.append(came)
+            total = reach + gain
+        at = [int(total.argmax())]
+        for came in reversed(back):
+            at.append(int(came[at[-1]]))
+        return at[::-1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, held, out = None, [], []
+
+        def flush():
+            if held:
+                out.extend((known, n, p) for n, p in zip(names, best(held)))
+                held.clear()
+
+        for batch in batches:
+            for k, p, v in zip(*[batch.column(c).to_pylist() for c in (key, place, score)]):
+                if k != known:
+                    flush()
+                    known = k
+                held.append((p, v))
+        flush()
+        columns = list(zip(*out)) if out else [[]] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.int32()))], [key, "name", place])
+
+    count = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    dealt = rows.select(F.col(key).cast("long"), F.col(place).cast("int"), F.col(score).cast("double")).repartition(count, key).sortWithinPartitions(key, place)
+    return dealt.mapInArrow(run, f"{key} long, name string, {place} int")

@@ -143,7 +143,7 @@ def axis_rules(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").filter("l_discount between 0.02 and 0.08").groupBy("l_returnflag").agg(F.round(at, 6).alias("at"))
 
 
-@query("AGG24 AGG25 AGG26", "SELECT l_linenumber, round(regr_slope(l_extendedprice, l_quantity), 4) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 4) AS intercept, round(regr_r2(l_extendedprice, l_quantity), 6) AS r2 FROM lineitem GROUP BY 1")
+@query("AGG17", "SELECT l_linenumber, round(regr_slope(l_extendedprice, l_quantity), 4) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 4) AS intercept, round(regr_r2(l_extendedprice, l_quantity), 6) AS r2 FROM lineitem GROUP BY 1")
 def linear_fit(spark, sf_dir):
     y, x = "l_extendedprice", "l_quantity"
     return table(spark, sf_dir, "lineitem").groupBy("l_linenumber").agg(F.round(F.regr_slope(y, x), 4).alias("slope"), F.round(F.regr_intercept(y, x), 4).alias("intercept"), F.round(F.regr_r2(y, x), 6).alias("r2"))
@@ -173,9 +173,11 @@ def bitmask_levels(spark, sf_dir):
 
 @query("AGG35 AGG36", "SELECT l_linenumber, round(least(greatest(median(l_extendedprice / (l_quantity * 1000)), 0.7), 1.45), 6) AS scale, round(quantile_cont(l_extendedprice, 0.9) / quantile_cont(l_extendedprice, 0.1), 6) AS contrast FROM lineitem GROUP BY 1")
 def scale_and_contrast(spark, sf_dir):
-    scale = F.median(F.col("l_extendedprice") / (F.col("l_quantity") * 1000))
-    contrast = F.percentile("l_extendedprice", F.lit(0.9)) / F.percentile("l_extendedprice", F.lit(0.1))
-    return table(spark, sf_dir, "lineitem").groupBy("l_linenumber").agg(F.round(F.least(F.greatest(scale, F.lit(0.7)), F.lit(1.45)), 6).alias("scale"), F.round(contrast, 6).alias("contrast"))
+    rows = table(spark, sf_dir, "lineitem").withColumn("ratio", F.col("l_extendedprice") / (F.col("l_quantity") * 1000))
+    ends = stats.percentiles(rows, "l_extendedprice", {"p90": 0.9, "p10": 0.1}, "l_linenumber")
+    both = stats.percentiles(rows, "ratio", {"middle": 0.5}, "l_linenumber").join(ends, "l_linenumber")
+    scale = F.least(F.greatest("middle", F.lit(0.7)), F.lit(1.45))
+    return both.select("l_linenumber", F.round(scale, 6).alias("scale"), F.round(F.col("p90") / F.col("p10"), 6).alias("contrast"))
 
 
 @query("AGG37 AGG39", "SELECT p_type, count(*) * 8 AS volume, CAST(sum(coalesce(CASE WHEN p_size < 10 THEN p_size END, p_size * 100)) AS BIGINT) AS bytes FROM part GROUP BY p_type")
@@ -184,7 +186,7 @@ def first_paint_bytes(spark, sf_dir):
     return table(spark, sf_dir, "part").groupBy("p_type").agg((F.count("*") * 8).alias("volume"), F.sum(F.coalesce(stand_in, F.col("p_size") * 100)).alias("bytes"))
 
 
-@query("AGG40 SET05 SET08", "SELECT l_orderkey, array_to_string(list_sort(list_filter(range(1, 8), lambda x: NOT list_contains(list(l_linenumber), x))), ',') AS absent FROM lineitem GROUP BY l_orderkey HAVING count(DISTINCT l_linenumber) < 7")
+@query("AGG40 SET05", "SELECT l_orderkey, array_to_string(list_sort(list_filter(range(1, 8), lambda x: NOT list_contains(list(l_linenumber), x))), ',') AS absent FROM lineitem GROUP BY l_orderkey HAVING count(DISTINCT l_linenumber) < 7")
 def absent_levels(spark, sf_dir):
     held = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_set("l_linenumber").alias("held"))  # line numbers are 1 to 7
     absent = F.array_except(F.sequence(F.lit(1), F.lit(7)), "held")

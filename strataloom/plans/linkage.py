@@ -25,7 +25,7 @@ def exact_then_fuzzy(spark, sf_dir):
     return linkage.exact_then_fuzzy(asked, keys, "q", "k", block=3, most=2, least=8, top=3)
 
 
-@query("JON16 SRT02")
+@query("JON16")
 def similar_titles(spark, sf_dir):
     """Candidates among all keys by matching-blocks ratio, a measure that SQL does not have; checked against a plain loop."""
     keys = table(spark, sf_dir, "part").select(F.col("p_name").alias("k")).distinct()
@@ -64,7 +64,7 @@ def cross_fill(spark, sf_dir):
 
 
 @query(
-    "STR12 STR13 GAT11 STR28",
+    "STR12 STR13 GAT11",
     """SELECT action, count(*) AS n FROM (SELECT CASE WHEN quality IS NULL THEN 'no decision' WHEN quality = 1 AND toxic = 0 AND lang = 'en' THEN 'exact' WHEN quality = 1 AND toxic = 0 THEN 'synonym' WHEN toxic = 1 AND n_chars > 1000 THEN 'broader' WHEN toxic = 1 THEN 'narrower' ELSE 'related' END AS action FROM documents LEFT JOIN labels USING (doc_id)) GROUP BY action""",
 )
 def decisions(spark, sf_dir):
@@ -78,7 +78,7 @@ def decisions(spark, sf_dir):
 
 
 @query(
-    "STR08 STR09 STR11 SRT07",
+    "SRT07",
     """WITH t AS (SELECT DISTINCT p_name AS name, unnest(string_split(p_name, ' ')) AS w FROM part), s AS (SELECT a.name, b.name AS other, count(*) AS shared FROM t a JOIN t b ON a.w = b.w AND a.name <> b.name GROUP BY 1, 2)
     SELECT name, other, shared FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY shared DESC, other) AS r FROM s) WHERE r <= 4""",
 )

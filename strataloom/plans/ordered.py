@@ -11,7 +11,7 @@ from strataloom.sources.tables import table
 
 
 @query(
-    "WIN01 WIN03",
+    "WIN01",
     """WITH s AS (SELECT user_id, event_id, value, coalesce(abs(value - lag(value) OVER w), 0) AS step, lag(value) OVER w AS p, lead(value) OVER w AS q FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
     SELECT user_id, event_id, round(sum(step) OVER (PARTITION BY user_id ORDER BY ts2 ROWS UNBOUNDED PRECEDING), 6) AS arc, round(CASE WHEN p IS NULL THEN q - value WHEN q IS NULL THEN value - p ELSE (q - p) / 2 END, 6) AS gradient
     FROM (SELECT s.*, row_number() OVER (PARTITION BY s.user_id ORDER BY e.ts, e.event_id) AS ts2 FROM s JOIN events e USING (event_id))""".replace("s.user_id", "s.user_id"),
@@ -26,7 +26,7 @@ def arc_length(spark, sf_dir):
 
 
 @query(
-    "WIN02 WIN17",
+    "WIN02",
     """WITH e AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events),
     p AS (SELECT a.user_id, a.event_id, d, least(greatest(a.i + d, 1), a.n) AS j FROM e a, unnest(range(-2, 3)) r(d))
     SELECT p.user_id, p.event_id, round(avg(b.value), 6) AS smooth FROM p JOIN e b ON b.user_id = p.user_id AND b.i = p.j GROUP BY 1, 2""",
@@ -75,7 +75,7 @@ def suffix_ids(spark, sf_dir):
 
 
 @query(
-    "WIN10 SNK10 UDF03",
+    "WIN10 SNK10",
     """WITH RECURSIVE d AS (SELECT doc_id, source, n_chars, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i FROM documents),
     r(source, i, doc_id, batch, total) AS (SELECT source, i, doc_id, CAST(0 AS BIGINT), n_chars FROM d WHERE i = 1 UNION ALL SELECT d.source, d.i, d.doc_id, CASE WHEN r.total + d.n_chars > 20000 THEN r.batch + 1 ELSE r.batch END, CASE WHEN r.total + d.n_chars > 20000 THEN d.n_chars ELSE r.total + d.n_chars END FROM r JOIN d ON d.source = r.source AND d.i = r.i + 1)
     SELECT source, doc_id, batch FROM r""",
@@ -87,7 +87,7 @@ def greedy_batches(spark, sf_dir):
 
 
 @query(
-    "WIN12 WIN13",
+    "WIN12",
     """WITH e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i, value, (value % 10) / 20 AS w FROM events),
     c AS (SELECT *, coalesce(exp(sum(ln(1 - w)) OVER (PARTITION BY user_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), 1) AS left_over FROM e) SELECT user_id, round(sum(value * w * left_over), 6) AS blend, round(min(left_over), 9) AS rest FROM c GROUP BY user_id""",
 )
@@ -106,7 +106,7 @@ def navigation(spark, sf_dir):
     return table(spark, sf_dir, "orders").filter("o_orderstatus = 'O'").select("o_custkey", "o_orderkey", at(F.lead).alias("next"), at(F.lag).alias("previous"))
 
 
-@query("WIN21 WIN22", "SELECT user_id, event_id, round(coalesce(last_value(CASE WHEN value > 60 THEN value END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), -1), 6) AS reference FROM events")
+@query("WIN22", "SELECT user_id, event_id, round(coalesce(last_value(CASE WHEN value > 60 THEN value END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), -1), 6) AS reference FROM events")
 def carried_reference(spark, sf_dir):
     w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
     known = F.last(F.when(F.col("value") > 60, F.col("value")), True).over(w)
@@ -114,7 +114,7 @@ def carried_reference(spark, sf_dir):
 
 
 @query(
-    "WIN14 MTH05",
+    "MTH05",
     "SELECT l_orderkey, l_linenumber, l_partkey, round(CASE WHEN l_quantity < 10 THEN l_quantity - 10 + 5 WHEN l_quantity > 40 THEN l_quantity - 40 + 50 ELSE 5 + (l_quantity - 10) * 1.5 END, 6) AS mapped, round(CASE WHEN t <= 0 THEN 0 WHEN t >= 1 THEN 1 ELSE t * t * (3 - 2 * t) END, 6) AS taper FROM (SELECT *, (l_quantity - 5) / 30 AS t FROM lineitem)",
 )
 def piecewise_map(spark, sf_dir):
@@ -126,7 +126,7 @@ def piecewise_map(spark, sf_dir):
 
 
 @query(
-    "JON33 MTH04",
+    "JON33",
     """WITH k AS (SELECT user_id, ts, value FROM events WHERE event_type = 'view'), q AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'purchase')
     SELECT q.event_id, round(k.value, 6) AS before FROM q ASOF JOIN k ON q.user_id = k.user_id AND q.ts >= k.ts""",
 )

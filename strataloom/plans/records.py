@@ -25,7 +25,7 @@ def common_projection(spark, sf_dir):
     return every.select("kind", "id", name.alias("name"), F.left(F.coalesce("text", F.lit("")), F.lit(40)).alias("summary"))
 
 
-@query("SRC06 SRC16 SRC31 SRC15", "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'l' WHEN c_custkey % 3 = 1 THEN 'r' END AS side, c_name AS stem FROM customer")
+@query("SRC06 SRC16 SRC15", "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'l' WHEN c_custkey % 3 = 1 THEN 'r' END AS side, c_name AS stem FROM customer")
 def side_grammar(spark, sf_dir):
     """Names with a side token at the end, taken apart."""
     end = F.when(F.col("c_custkey") % 3 == 0, "-Left").when(F.col("c_custkey") % 3 == 1, "_R").otherwise("")
@@ -46,7 +46,7 @@ def group_filter(spark, sf_dir):
     return table(spark, sf_dir, "events").filter(F.col("event_type").isin(wanted) & ~(restricted & (F.col("user_id") % 10 == 0)) & ~F.col("user_id").isin(off)).select("event_id")
 
 
-@query("FLT33 SRC29", "SELECT vec_id, CASE WHEN len(embedding) <> 64 THEN 'shape' WHEN abs(sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))) - 1) <= 1e-3 THEN 'unit' ELSE 'free' END AS kind FROM embeddings")
+@query("FLT33", "SELECT vec_id, CASE WHEN len(embedding) <> 64 THEN 'shape' WHEN abs(sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))) - 1) <= 1e-3 THEN 'unit' ELSE 'free' END AS kind FROM embeddings")
 def alignment(spark, sf_dir):
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
     kind = F.when(F.size("embedding") != 64, "shape").when(F.abs(norm - 1) <= 1e-3, "unit").otherwise("free")
@@ -54,7 +54,7 @@ def alignment(spark, sf_dir):
 
 
 @query(
-    "JON28 GEO11 JON44",
+    "JON28 GEO11",
     """WITH a AS (SELECT l_linenumber AS k, avg(l_quantity) + l_linenumber * 10 AS x FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1), b AS (SELECT l_linenumber AS k, avg(l_extendedprice) / 1000 + l_linenumber * 12 AS y FROM lineitem WHERE l_returnflag = 'N' GROUP BY 1),
     l AS (SELECT k, x, y, lag(x) OVER (ORDER BY k) AS px, lead(x) OVER (ORDER BY k) AS nx, lead(y) OVER (ORDER BY k) AS ny FROM a JOIN b USING (k)) SELECT k, round((ny - y) / (nx - x), 6) AS stretch FROM l WHERE px IS NULL OR x - px > 1e-6""",
 )
@@ -83,7 +83,7 @@ def layered_mix(spark, sf_dir):
 
 
 @query(
-    "MTH06 MTH12",
+    "MTH06",
     """WITH c AS (SELECT p_partkey, (p_size * 5 % 256) / 255.0 AS r, (p_partkey % 256) / 255.0 AS g, 0.5 AS b FROM part), l AS (SELECT p_partkey, CASE WHEN r <= 0.04045 THEN r / 12.92 ELSE ((r + 0.055) / 1.055) ** 2.4 END AS r, CASE WHEN g <= 0.04045 THEN g / 12.92 ELSE ((g + 0.055) / 1.055) ** 2.4 END AS g, CASE WHEN b <= 0.04045 THEN b / 12.92 ELSE ((b + 0.055) / 1.055) ** 2.4 END AS b FROM c),
     x AS (SELECT p_partkey, (0.4124564 * r + 0.3575761 * g + 0.1804375 * b) / 0.95047 AS x, 0.2126729 * r + 0.7151522 * g + 0.0721750 * b AS y, (0.0193339 * r + 0.1191920 * g + 0.9503041 * b) / 1.08883 AS z FROM l),
     f AS (SELECT p_partkey, CASE WHEN x > 0.008856 THEN cbrt(x) ELSE 7.787 * x + 16.0 / 116 END AS x, CASE WHEN y > 0.008856 THEN cbrt(y) ELSE 7.787 * y + 16.0 / 116 END AS y, CASE WHEN z > 0.008856 THEN cbrt(z) ELSE 7.787 * z + 16.0 / 116 END AS z FROM x)
@@ -102,7 +102,7 @@ def separated_colours(spark, sf_dir):
     return sequences.streamed(colour, "p_brand", ["p_partkey"], paths.separated(3.0), "p_brand string, p_partkey long, taken int")
 
 
-@query("WIN15 WIN16 GEO10")
+@query("WIN15")
 def best_paths(spark, sf_dir):
     """The best path through a score plane a user: score of a place each day less a penalty on squared steps; checked in tests."""
     score = table(spark, sf_dir, "events").groupBy("user_id", F.date_trunc("day", "ts").cast("long").alias("day"), F.least(F.floor(F.col("value") / 10), F.lit(10)).cast("int").alias("x")).agg(F.count("*").cast("double").alias("score"))
@@ -110,7 +110,7 @@ def best_paths(spark, sf_dir):
 
 
 @query(
-    "AGG47 AGG49 AGG50 SNK18",
+    "AGG47 AGG49 AGG50",
     """WITH c AS (SELECT l_linenumber AS z, avg(l_quantity) AS x, avg(l_discount * 100) AS y FROM lineitem GROUP BY 1) SELECT z, round(c.x, 6) AS x, round(c.y, 6) AS y, round(avg(sqrt((l_quantity - c.x) ** 2 + (l_discount * 100 - c.y) ** 2)), 6) AS radius, max(l_quantity) AS roof FROM lineitem JOIN c ON z = l_linenumber GROUP BY z, c.x, c.y""",
 )
 def outlines(spark, sf_dir):
@@ -122,7 +122,7 @@ def outlines(spark, sf_dir):
     return around.groupBy("z", "x", "y").agg(F.round(radius, 6).alias("radius"), F.max("u").alias("roof")).select("z", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), "radius", "roof")
 
 
-@query("SNK04 SNK09 SNK14", "SELECT d.doc_id, coalesce(CASE l.quality WHEN 1 THEN 'keep' WHEN 0 THEN 'drop' END, '') AS decision FROM documents d LEFT JOIN labels l USING (doc_id) WHERE d.n_chars > 500")
+@query("SNK04 SNK09", "SELECT d.doc_id, coalesce(CASE l.quality WHEN 1 THEN 'keep' WHEN 0 THEN 'drop' END, '') AS decision FROM documents d LEFT JOIN labels l USING (doc_id) WHERE d.n_chars > 500")
 def carried_decisions(spark, sf_dir):
     from strataloom.sources.sinks import carried_over
 
@@ -130,7 +130,7 @@ def carried_decisions(spark, sf_dir):
     return carried_over(table(spark, sf_dir, "documents").filter("n_chars > 500").select("doc_id"), previous, "doc_id", "decision")
 
 
-@query("JSN03 SRC07 UDF04", "SELECT event_id, k, k IN (SELECT k FROM (SELECT CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events) WHERE k % 3 = 0) AS kept FROM (SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events) WHERE k IS NOT NULL")
+@query("JSN03 SRC07", "SELECT event_id, k, k IN (SELECT k FROM (SELECT CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events) WHERE k % 3 = 0) AS kept FROM (SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events) WHERE k IS NOT NULL")
 def pruned_references(spark, sf_dir):
     """References out of nested records, each with whether its target is kept."""
     refs = table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k")).filter("k is not null")

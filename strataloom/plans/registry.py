@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-PLANS = ("aggregates", "integrity", "joins", "linkage", "ordered", "records", "search", "spatial", "state", "texts")
+PLANS = ("aggregates", "geometry", "integrity", "joins", "linkage", "ordered", "overrides", "records", "search", "spatial", "state", "texts")
 
 
 @dataclass(frozen=True)

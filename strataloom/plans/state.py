@@ -10,7 +10,7 @@ from strataloom.sources.tables import table
 
 
 @query(
-    "STM01 UDF05 FLT34 FLT29",
+    "STM01",
     """SELECT user_id, count(*) FILTER (WHERE changed) AS fired, arg_max(event_type, (ts, event_id)) AS state FROM (SELECT *, event_type IS DISTINCT FROM lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS changed FROM events) GROUP BY user_id""",
 )
 def state_fold(spark, sf_dir):
@@ -54,7 +54,7 @@ def latest_wins(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.max_by("value", F.struct("ts", "event_id")).alias("value"), F.max("ts").alias("at"))
 
 
-@query("FLT07 FLT15 GEO18 FLT28 MTH11", "SELECT event_id, CASE WHEN value > 90 THEN 'selected' WHEN event_type = 'view' THEN 'hover' WHEN user_id % 5 = 0 AND value < 20 THEN 'dimmed' WHEN user_id % 5 = 0 THEN 'involved' ELSE 'normal' END AS state, CAST((value > 50)::INTEGER * 3 + (event_type = 'click')::INTEGER * 2 - (value < 5)::INTEGER * 9 AS INTEGER) AS score FROM events")
+@query("FLT07 FLT15 GEO18 MTH11", "SELECT event_id, CASE WHEN value > 90 THEN 'selected' WHEN event_type = 'view' THEN 'hover' WHEN user_id % 5 = 0 AND value < 20 THEN 'dimmed' WHEN user_id % 5 = 0 THEN 'involved' ELSE 'normal' END AS state, CAST((value > 50)::INTEGER * 3 + (event_type = 'click')::INTEGER * 2 - (value < 5)::INTEGER * 9 AS INTEGER) AS score FROM events")
 def visual_state(spark, sf_dir):
     """Ordered cases, and a score from rules with a hard reject."""
     value, user = F.col("value"), F.col("user_id")

@@ -11,7 +11,7 @@ from strataloom.sources.tables import table
 
 
 @query(
-    "STR01 STR07 STR03 STR27",
+    "STR01 STR07 STR03",
     """SELECT p_partkey, trim(regexp_replace(regexp_replace(lower(p_name || ' (' || p_brand || ')'), '\\([^)]*\\)', '', 'g'), '[^a-z0-9]+', ' ', 'g')) AS title,
     rtrim(left(array_to_string(list_slice(list_filter(string_split(regexp_replace(lower(p_name || ' ' || p_type || '!'), '[^a-z0-9]+', '-', 'g'), '-'), lambda x: x <> ''), 1, 8), '-'), 64), '-') AS slug FROM part""",
 )
@@ -72,7 +72,7 @@ def idf(spark, sf_dir):
 
 
 @query(
-    "STR06 JON17 SRT03 STR25",
+    "JON17 SRT03",
     f"""WITH {_TOKENS}, b AS (SELECT DISTINCT item_id, unnest(list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^a-z0-9\\s]', ' ', 'g'), '\\s+'), lambda x: x <> '')) AS w FROM benchmark),
     bw AS (SELECT item_id, w, coalesce(idf, 1) AS idf FROM b LEFT JOIN idf USING (w)), bs AS (SELECT item_id, sum(idf) AS s FROM bw GROUP BY 1), ds AS (SELECT doc_id, sum(idf) AS s FROM t JOIN idf USING (w) GROUP BY 1),
     c AS (SELECT item_id, doc_id, sum(bw.idf) AS common FROM bw JOIN t USING (w) WHERE bw.idf > 4 GROUP BY 1, 2), f AS (SELECT item_id, doc_id, round(92 * 2 * common / (bs.s + ds.s), 6) AS score FROM c JOIN bs USING (item_id) JOIN ds USING (doc_id))
@@ -132,7 +132,7 @@ def url_params(spark, sf_dir):
     )
 
 
-@query("STR22 SRC22 SRC27 GAT09", "WITH h AS (SELECT conv_id, left(sha1(string_agg(turn || '=' || text, chr(10) ORDER BY turn, role, text)), 16) AS hash FROM conversations GROUP BY 1) SELECT conv_id, hash, hash < '8' AS stale FROM h")
+@query("STR22 GAT09", "WITH h AS (SELECT conv_id, left(sha1(string_agg(turn || '=' || text, chr(10) ORDER BY turn, role, text)), 16) AS hash FROM conversations GROUP BY 1) SELECT conv_id, hash, hash < '8' AS stale FROM h")
 def source_hash(spark, sf_dir):
     """The first 16 hex digits over the ordered parts of each conversation."""
     parts = F.sort_array(F.collect_list(F.struct("turn", "role", "text")))  # the turns of one conversation
@@ -147,7 +147,7 @@ def json_paths(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", parsed["k"].alias("k"), parsed["none"].alias("none"), (F.coalesce(parsed["k"], F.lit(-1)) % 7).alias("bucket"))
 
 
-@query("STR26 MTH07", "SELECT p_partkey, CAST(('0x' || left(md5(p_name), 8)) AS BIGINT) % 12 AS hue, CAST(('0x' || left(md5(p_name), 8)) AS BIGINT) // 12 % 5 AS light FROM part")
+@query("STR26", "SELECT p_partkey, CAST(('0x' || left(md5(p_name), 8)) AS BIGINT) % 12 AS hue, CAST(('0x' || left(md5(p_name), 8)) AS BIGINT) // 12 % 5 AS light FROM part")
 def hash_jitter(spark, sf_dir):
     n = F.conv(F.left(F.md5("p_name"), F.lit(8)), 16, 10).cast("long")
     return table(spark, sf_dir, "part").select("p_partkey", (n % 12).alias("hue"), (F.floor(n / 12) % 5).alias("light"))
