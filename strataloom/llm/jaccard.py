@@ -453,8 +453,9 @@ def _components(plain: DataFrame, k: int, percent: int) -> tuple[DataFrame, Data
     real = found.filter((F.col("n") > 0) & F.col("doc_id").isNotNull())
     texts = _one_each(plain.filter(F.col("doc_id").isNotNull()), real, k, percent)
     real = real.groupBy("doc_id").agg(F.max(F.struct("n", "f1", "f2")).alias("set")).select("doc_id", "set.*")
-    twins = real.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("node"), F.count("*").alias("c")).filter("c > 1").drop("c")
-    copies = durable(real.join(twins, ["n", "f1", "f2"]).filter(F.col("doc_id") != F.col("node")).select("doc_id", "node"), "copies")
+    real = durable(real, "real")
+    twins = durable(real.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("node"), F.count("*").alias("c")).filter("c > 1").drop("c"), "twins")
+    copies = durable(real.join(few(twins), ["n", "f1", "f2"]).filter(F.col("doc_id") != F.col("node")).select("doc_id", "node"), "copies")
 
     # the index, without copies: short lists come out as pairs.  Shingles put last are known to be
     # common, so their entries are dealt apart; the others have few entries each, which meet by token once

@@ -15,7 +15,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataloom.llm import tokens
@@ -23,6 +23,8 @@ from strataloom.session import ship
 
 #: Learning rows whose texts a fit may use (those with the smallest hash of doc_id), and cells for n-grams.
 FIT_ROWS = 6_000
+#: Rows of a rare language that are fitted besides.
+LEAST = 40
 CELL_BITS = 12
 CELLS = 1 << CELL_BITS
 GRAMS = 3
@@ -163,22 +165,30 @@ def train(docs: DataFrame, rows: int = FIT_ROWS) -> Model:
     """Learn from documents (doc_id, text, lang); rows with a null text or lang teach nothing.
 
     Document frequencies are counted over all of them, weights are fitted on at
-    most ``rows``.
+    most ``rows``, and LEAST more of each language that is too rare to have so
+    many among those: every language of the learning rows is learned.
     """
     ship(docs.sparkSession)
+    order = [F.xxhash64("doc_id"), "doc_id"]
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long"), "text", "lang")
     total = known.count()
     df = np.zeros(CELLS)
     for r in known.select("text").mapInArrow(_frequencies, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
         df[r["cell"]] = r["n"]
     idf = np.log((1.0 + total) / (1.0 + df)) + 1.0
-    taken = known.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).distinct()
+    taken = known.select("doc_id").orderBy(*order).limit(rows)
+    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}  # one row a language
+    rare = [x for x, n in sizes.items() if n * rows < LEAST * total]
+    if rare:
+        place = F.row_number().over(Window.partitionBy("lang").orderBy(*order))
+        taken = taken.union(known.filter(F.col("lang").isin(rare)).select("doc_id", "lang", place.alias("i")).filter(F.col("i") <= LEAST).select("doc_id"))
+    taken = taken.distinct()
     got = (
         known.join(F.broadcast(taken), "doc_id")
         .mapInArrow(_matrix, "doc_id long, lang string, has boolean, cells binary, counts binary")
         .filter("has")
-        .orderBy(F.xxhash64("doc_id"), "doc_id", "lang", "cells")
-        .limit(rows)
+        .orderBy(*order, "lang", "cells")
+        .limit(rows + LEAST * len(rare))
         .collect()
     )
     langs = sorted({r["lang"] for r in got})

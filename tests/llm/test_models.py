@@ -70,3 +70,14 @@ def test_language_awkward(spark):
     empty = language.train(spark.createDataFrame([], "doc_id long, text string, lang string"))
     assert {r["lang_pred"] for r in language.identify(awkward(spark), empty).collect()} == {"und"}
     assert language.identify(frame(spark, []), empty).count() == 0
+
+
+def test_rare_languages_are_learned(spark):
+    """A language with 30 of 4,030 documents is a class, though a sample of 60 rows has hardly one of it."""
+    rng = random.Random(12)
+    speak = {"aa": ["kala", "tuli", "vesi", "metsa"], "bb": ["bread", "water", "stone", "light"], "cc": ["zxqv", "qqyz", "xyzzy", "vvkw"]}
+    docs = [(i, " ".join(rng.choice(speak[x]) for _ in range(12)), x) for i, x in enumerate(["aa", "bb"] * 2000 + ["cc"] * 30)]
+    table = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    model = language.train(table, rows=60)
+    got = {r["doc_id"]: r["lang_pred"] for r in language.identify(table, model).collect()}
+    assert sum(got[d] == x for d, _, x in docs) >= 0.99 * len(docs) and all(got[d] == "cc" for d, _, x in docs if x == "cc")
