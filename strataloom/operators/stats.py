@@ -11,6 +11,8 @@ from strataloom.session import discard, durable
 
 #: Cells into which a range of values is cut while a rank is looked for, and rows that one task may sort then.
 CELLS, SORTED_ROWS = 4_096, 200_000
+#: Rows of a key up to which one task may hold its values, which is faster.
+HELD_ROWS = 1_000_000
 
 
 def percentiles(rows: DataFrame, value: str, shares: dict[str, float], *keys: str) -> DataFrame:
@@ -18,11 +20,15 @@ def percentiles(rows: DataFrame, value: str, shares: dict[str, float], *keys: st
 
     Rows are counted in cells of value, of which only the ones with the wanted
     ranks are looked at again, cut finer until they are small; those are sorted.
-    No task holds the values of a key.  Nulls and NaN are left out, as are keys
+    No task holds the values of a key of more than HELD_ROWS; the result does not
+    depend on that.  Nulls and NaN are left out, as are keys
     without other values.
     """
     known = rows.select(*keys, F.col(value).cast("double").alias("v")).filter(F.col("v").isNotNull() & ~F.isnan("v"))
     ends = durable(known.groupBy(*keys).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")), "ends")
+    if ends.filter(F.col("n") > HELD_ROWS).isEmpty():
+        got = known.groupBy(*keys).agg(*[F.percentile("v", F.lit(q)).alias(k) for k, q in shares.items()], F.count("*").alias("n"))
+        return got.filter("n > 0").drop("n")
     asked = F.explode(F.array(*[F.struct(F.lit(k).alias("share"), F.lit(q).alias("q")) for k, q in shares.items()]))
     places = ends.select(*keys, "n", "lo", "hi", asked.alias("a")).withColumn("at", (F.col("n") - 1) * F.col("a.q"))
     ranks = places.select(*keys, "lo", "hi", F.lit(0).cast("long").alias("before"), F.col("n").alias("c"), F.explode(F.array(F.floor("at"), F.ceil("at"))).alias("rank")).distinct()

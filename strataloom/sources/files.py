@@ -128,3 +128,38 @@ def clean_lines(lines: DataFrame) -> DataFrame:
     letters = F.length(F.regexp_replace("value", "[^A-Za-z]", ""))
     signs = F.length(F.regexp_replace("value", r"[A-Za-z0-9\s]", ""))
     return lines.filter((letters >= 3) & (signs <= 0.3 * F.length("value")))
+
+
+def tsv(spark: SparkSession, paths: list[str], columns: list[str], header: int = 1) -> tuple[DataFrame, DataFrame]:
+    """Rows of tab-separated files (with their file's place in ``paths`` and line number), and lines with too few fields.
+
+    The first ``header`` lines of each file are left out, as are empty lines;
+    fields beyond ``columns`` are dropped; a missing file has no rows.
+    """
+    parts = []
+    for i, path in enumerate(paths):
+        if exists(spark, path):
+            # a file is one text, so its lines keep their numbers
+            lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("line", "text"))
+            parts.append(lines.filter((F.col("line") >= header) & (F.trim("text") != "")).withColumn("file", F.lit(i)))
+    if not parts:
+        return spark.createDataFrame([], ", ".join(f"`{c}` string" for c in columns) + ", file int, line int"), spark.createDataFrame([], "file int, line int, text string")
+    rows = parts[0]
+    for more in parts[1:]:
+        rows = rows.unionByName(more)
+    rows = rows.withColumn("fields", F.split("text", "\t"))
+    long = F.size("fields") >= len(columns)
+    good = rows.filter(long).select(*[F.trim(F.get("fields", F.lit(i))).alias(c) for i, c in enumerate(columns)], "file", "line")
+    return good, rows.filter(~long).select("file", "line", "text")
+
+
+def multimap(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, values): the distinct values of each key, in the order in which they first come."""
+    first = rows.groupBy(key, value).agg(F.min(F.struct("file", "line")).alias("at"))
+    return first.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", value))), lambda x: x[value]).alias("values"))
+
+
+def first_of(rows: DataFrame, key: str) -> DataFrame:
+    """The first row of each key: by file, then by line."""
+    rest = [c for c in rows.columns if c != key]
+    return rows.groupBy(key).agg(F.min_by(F.struct(*rest), F.struct("file", "line")).alias("r")).select(key, *[F.col(f"r.{c}").alias(c) for c in rest])

@@ -51,7 +51,8 @@ def test_percentiles_by_rank(spark, monkeypatch):
     rows += [("one", 4.0), ("nan", float("nan")), ("null", None), ("a", None)]
     df = spark.createDataFrame(rows, "k string, v double")
     shares = {"lo": 0.005, "mid": 0.5, "hi": 0.995, "top": 1.0}
-    for most, cells in ((200_000, 4096), (3, 4)):
+    for held, most, cells in ((1_000_000, 200_000, 4096), (0, 200_000, 4096), (0, 3, 4)):
+        monkeypatch.setattr(stats, "HELD_ROWS", held)
         monkeypatch.setattr(stats, "SORTED_ROWS", most)
         monkeypatch.setattr(stats, "CELLS", cells)
         got = {r["k"]: r for r in stats.percentiles(df, "v", shares, "k").collect()}

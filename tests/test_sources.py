@@ -108,3 +108,13 @@ def test_separated(spark):
     rows = spark.createDataFrame([("g", i, float(x), 0.0, 0.0) for i, x in enumerate([0, 2, 3, 4, 6.5])], "g string, i int, l double, a double, b double")
     got = sequences.streamed(rows, "g", ["i"], paths.separated(3.0), "g string, i int, taken int").orderBy("i").collect()
     assert [r["taken"] for r in got] == [1, 0, 1, 0, 1]
+
+
+def test_tsv_multimap_and_first(spark, tmp_path):
+    (tmp_path / "a.tsv").write_text("k\tv\nx\t2\textra\nshort\n\ny\t1\nx\t1\nx\t2\n")
+    (tmp_path / "b.tsv").write_text("k\tv\r\ny\t9\r\nz\t3")
+    good, short = files.tsv(spark, [str(tmp_path / n) for n in ("a.tsv", "none.tsv", "b.tsv")], ["k", "v"])
+    assert [(r["file"], r["line"], r["text"]) for r in short.collect()] == [(0, 2, "short")]
+    assert {r["k"]: r["values"] for r in files.multimap(good, "k", "v").collect()} == {"x": ["2", "1"], "y": ["1", "9"], "z": ["3"]}
+    assert {r["k"]: (r["v"], r["file"]) for r in files.first_of(good, "k").collect()} == {"x": ("2", 0), "y": ("1", 0), "z": ("3", 2)}
+    assert files.tsv(spark, [str(tmp_path / "none.tsv")], ["k", "v"])[0].count() == 0
