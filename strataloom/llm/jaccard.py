@@ -368,9 +368,9 @@ def _compare(k: int):
     return run
 
 
-def few(ids: DataFrame) -> DataFrame:
+def few(ids: DataFrame, most: int | None = None) -> DataFrame:
     """ids, written before, to be broadcast if they are few enough, and joined by a shuffle if not."""
-    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    return F.broadcast(ids) if ids.count() <= (BROADCAST_IDS if most is None else most) else ids
 
 
 def overlaps(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:

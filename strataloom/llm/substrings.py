@@ -35,11 +35,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataloom.llm import tokens
+from strataloom.llm.jaccard import few
 from strataloom.session import discard, durable, ship
 
 WIDTH = 20
 ANCHOR = 8
 HOT = 512
+#: Most digests of texts with copies (40 bytes each) that are broadcast.
+BROADCAST_DIGESTS = 200_000
 #: Words of one broadcast automaton (some 600 bytes each at most).
 SHARD_WORDS = 100_000
 LAST_ID = (1 << 63) - 1
@@ -323,9 +326,9 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
     # copies of whole texts: rows whose doc_id is theirs alone and not the smallest that has the text
     thin = durable(plain.select("doc", F.md5("text").alias("digest")), "digests")
-    smallest = thin.groupBy("digest").agg(F.min("doc").alias("low"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    smallest = durable(thin.groupBy("digest").agg(F.min("doc").alias("low"), F.count("*").alias("n")).filter("n > 1").drop("n"), "smallest")
     alone = thin.groupBy("doc").agg(F.count("*").alias("n"), F.min("digest").alias("digest")).filter("n = 1").drop("n")
-    copies = durable(alone.join(smallest, "digest").filter("doc > low").select("doc"), "copies")
+    copies = durable(alone.join(few(smallest, BROADCAST_DIGESTS), "digest").filter("doc > low").select("doc"), "copies")
 
     found = durable(plain.select("doc", "text").mapInArrow(_anchors(width), "anchor long, doc long, at int"), "anchors")
     # written apart, so that the join deals both sides by itself and can split a common anchor
