@@ -59,3 +59,14 @@ def test_empty_and_awkward(spark):
         for _, stage in corpus_pipeline.STAGES:
             state = durable(stage(spark, state, SF), "t")
         assert {r["doc_id"] for r in state.collect()} <= {3}
+
+
+def test_results_of_one_application_stay_alive(spark):
+    """Two runs and operators of other calls keep the tables that they read."""
+    from strataloom.llm import queries
+
+    early = [queries.queries()[n](spark, SF) for n in ("op1_sharding", "op2_substring_dedup", "op4_ngram_jaccard", "op10_line_dedup")]
+    first = corpus_pipeline.run(spark, SF)
+    second = corpus_pipeline.run(spark, SF)
+    assert all(df.count() == table(spark, SF, "documents").count() for df in early)
+    assert sorted(map(tuple, first.select("doc_id", "start", "length").collect())) == sorted(map(tuple, second.select("doc_id", "start", "length").collect()))
