@@ -32,7 +32,7 @@ def slug(text: Column, parts: int = 8, most: int = 64) -> Column:
 
 def plain_words(text: Column) -> Column:
     """Words of a-z and 0-9 after lower-casing."""
-    return F.filter(F.split(F.regexp_replace(F.lower(text), r"[^a-z0-9\s]", " "), r"\s+"), lambda x: x != "")
+    return F.array_remove(F.split(F.lower(text), "[^a-z0-9]+"), "")
 
 
 def shingles(words: Column, n: int) -> Column:

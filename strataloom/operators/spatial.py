@@ -4,14 +4,11 @@ from __future__ import annotations
 
 import itertools
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataloom.session import durable
 
-#: Cells of an as-of join, whose carry-over is one ordered pass.
-MOST_CELLS = 100_000
-
 
 def paint(rows: DataFrame, bands: DataFrame, value: str) -> DataFrame:
     """rows with the id of the last band (by ord) with lo <= value < hi.
@@ -24,30 +21,38 @@ def paint(rows: DataFrame, bands: DataFrame, value: str) -> DataFrame:
     return rows.crossJoin(F.broadcast(few)).withColumn("id", F.get(inside, F.lit(0))["id"]).drop("bands")
 
 
-def as_of(left: DataFrame, right: DataFrame, at: str, since: str, keep: list[str], width: int) -> DataFrame:
+def as_of(left: DataFrame, right: DataFrame, at: str, since: str, keep: list[str], ranges: int | None = None) -> DataFrame:
     """left with the columns ``keep`` of the row of right with the largest ``since`` up to ``at``; inner.
 
-    Both sides are cut into cells of ``width``, or wider ones where that would be
-    more than MOST_CELLS.  A cell's rows meet in one task and each cell also gets
-    the last row of right before it, which comes from one row a cell.
+    Rows of both sides are sorted into ``ranges`` parts of about one size (by
+    default as many as the session has shuffle partitions), also where one value
+    of ``at`` has most rows; each part is one ordered pass that may spill, and
+    gets the last row of right of the parts before it, one row a part.  Of equal
+    ``since`` the largest ``keep`` counts; rows of left with a null ``at``, or
+    before all of right, are left out; rows of right with a null ``since`` are
+    never found.
     """
-    lo, hi = left.agg(F.min(at), F.max(at)).first()
-    if lo is not None:
-        width = max(width, (hi - lo) / MOST_CELLS)
-    cell = lambda c: F.floor(F.col(c) / width)
-    starts = right.select(F.col(since).alias("__s"), F.struct(*keep).alias("__v"), cell(since).alias("__c"))
-    from pyspark.sql import Window
-
-    last = starts.groupBy("__c").agg(F.max(F.struct("__s", "__v")).alias("__last"))
-    cells = left.select(cell(at).alias("__c")).distinct().join(last, "__c", "full_outer")
-    # one row a cell: the last one known before it
-    before = cells.select("__c", F.last("__last", True).over(Window.orderBy("__c").rowsBetween(Window.unboundedPreceding, -1)).alias("__before"))
-    from_cell = starts.groupBy("__c").agg(F.sort_array(F.collect_list(F.struct("__s", "__v"))).alias("__in"))
-    both = left.withColumn("__c", cell(at)).join(from_cell, "__c", "left").join(before, "__c", "left")
-    inside = F.filter("__in", lambda x: x["__s"] <= F.col(at))
-    found = F.coalesce(F.get(inside, F.size(inside) - 1), F.col("__before"))
-    got = both.withColumn("__f", found).filter(F.col("__f").isNotNull())
-    return got.select(*[c for c in left.columns if c not in keep], *[F.col(f"__f.__v.{k}").alias(k) for k in keep])
+    spark = left.sparkSession
+    ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    asked = left.filter(F.col(at).isNotNull()).select(F.col(at).alias("__t"), F.struct(*left.columns).alias("__row"))
+    known = right.filter(F.col(since).isNotNull()).select(F.col(since).alias("__t"), F.struct(*keep).alias("__v"))
+    # known rows come before those asked at the same place, whose own order is free and spreads them
+    both = known.unionByName(asked, allowMissingColumns=True).withColumns({"__asks": F.col("__row").isNotNull(), "__tie": F.xxhash64("__row")})
+    order = ["__t", "__asks", "__v", "__tie"]
+    parts = durable(both.repartitionByRange(ranges, *order).withColumn("__part", F.spark_partition_id()), "as_of")
+    last = parts.filter("not __asks").groupBy("__part").agg(F.max(F.struct("__t", "__v")).alias("__last"))
+    held = last.select("__part", F.col("__last.__v").alias("__before")).orderBy("__part").collect()  # at most ``ranges`` rows
+    before, carried = None, []
+    found = {r["__part"]: r["__before"] for r in held}
+    for i in range(ranges):
+        if before is not None:
+            carried.append((i, before))
+        before = found.get(i, before)
+    carry = spark.createDataFrame(carried, parts.select(F.col("__part").alias("__p"), F.col("__v").alias("__before")).schema)
+    inside = F.last("__v", True).over(Window.partitionBy("__part").orderBy(*order[:3]).rowsBetween(Window.unboundedPreceding, 0))
+    got = parts.select("__part", "__asks", "__row", inside.alias("__in")).filter("__asks").join(F.broadcast(carry), F.col("__part") == F.col("__p"), "left")
+    got = got.withColumn("__f", F.coalesce("__in", "__before")).filter(F.col("__f").isNotNull())
+    return got.select(*[F.col(f"__row.{c}").alias(c) for c in left.columns if c not in keep], *[F.col(f"__f.{k}").alias(k) for k in keep])
 
 
 def cells(point: list[Column], size: float) -> list[Column]:

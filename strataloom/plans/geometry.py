@@ -498,3 +498,24 @@ def box_union(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_linestatus", "l_linenumber")
     boxes = rows.agg((F.min("l_quantity") - 0.5).alias("lo"), (F.max("l_quantity") + 0.5).alias("hi"), (F.min("l_discount") * 100 - 0.5).alias("jlo"), (F.max("l_discount") * 100 + 0.5).alias("jhi"))
     return boxes.groupBy("l_returnflag").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("jlo").alias("jlo"), F.max("jhi").alias("jhi"))
+
+
+@query(
+    "SRC30",
+    """WITH v AS (SELECT label AS mesh, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y, CAST(embedding[3] AS DOUBLE) AS z FROM embeddings),
+    n AS (SELECT DISTINCT label AS mesh, 1.0 + label AS s, label / 2.0 AS t FROM embeddings WHERE label % 5 <> 4),
+    w AS (SELECT v.mesh, coalesce(s, 1) * x + coalesce(t, 0) AS x, y - coalesce(t, 0) * z AS y, z + coalesce(s, 0) AS z FROM v LEFT JOIN n USING (mesh))
+    SELECT mesh, count(*) AS vertices, count(*) // 3 AS triangles, round(min(x), 6) AS min_x, round(max(x), 6) AS max_x, round(min(y), 6) AS min_y, round(max(y), 6) AS max_y, round(min(z), 6) AS min_z, round(max(z), 6) AS max_z FROM w GROUP BY mesh""",
+)
+def mesh_bounds(spark, sf_dir):
+    """Counts and the box in the world of each mesh, whose node's matrix places its vertices; without a node they stay."""
+    e = table(spark, sf_dir, "embeddings")
+    vertices = e.select(F.col("label").alias("mesh"), *[F.col("embedding")[i].cast("double").alias(a) for i, a in enumerate("xyz")])
+    half = F.col("label") / 2.0
+    rows = [[1.0 + F.col("label"), F.lit(0.0), F.lit(0.0), half], [F.lit(0.0), F.lit(1.0), -half, F.lit(0.0)], [F.lit(0.0), F.lit(0.0), F.lit(1.0), 1.0 + F.col("label")]]
+    nodes = e.filter("label % 5 <> 4").select(F.col("label").alias("mesh"), F.array(*[F.array(*r) for r in rows]).alias("matrix")).distinct()
+    point = [F.col(a) for a in "xyz"]
+    placed = lambda r: sum((F.col("matrix")[r][i] * p for i, p in enumerate(point)), F.col("matrix")[r][3])
+    world = vertices.join(nodes, "mesh", "left").select("mesh", *[F.when(F.col("matrix").isNull(), p).otherwise(placed(r)).alias(a) for r, (a, p) in enumerate(zip("xyz", point))])
+    box = [F.round(f(a), 6).alias(f"{name}_{a}") for a in "xyz" for name, f in (("min", F.min), ("max", F.max))]
+    return world.groupBy("mesh").agg(F.count("*").alias("vertices"), F.floor(F.count("*") / 3).alias("triangles"), *box)

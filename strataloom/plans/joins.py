@@ -97,7 +97,7 @@ def range_from_starts(spark, sf_dir):
     """Each row's chapter, where a chapter ends before the next one's start: an as-of lookup on the row's own order."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     starts = orders.filter("o_orderkey % 50 = 0").select(F.col("o_orderkey").alias("a"), F.col("o_custkey").alias("chapter"))
-    return spatial.as_of(orders, starts, "o_orderkey", "a", ["chapter", "a"], width=64).select("o_orderkey", "chapter", "a")
+    return spatial.as_of(orders, starts, "o_orderkey", "a", ["chapter", "a"]).select("o_orderkey", "chapter", "a")
 
 
 @query(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strataloom.functions import text as T
 from strataloom.plans.registry import query
+from strataloom.session import durable
 from strataloom.sources.tables import table
 
 
@@ -59,8 +60,7 @@ def _tokens(spark, sf_dir, name, key):
     return table(spark, sf_dir, name).select(F.col(key), F.explode(F.array_distinct(T.plain_words(F.col("text")))).alias("w"))
 
 
-def _idf(spark, sf_dir):
-    tokens = _tokens(spark, sf_dir, "documents", "doc_id")
+def _idf(spark, sf_dir, tokens):
     total = F.broadcast(table(spark, sf_dir, "documents").agg(F.count("*").alias("total")))
     df = tokens.groupBy("w").agg(F.count("*").alias("df"))
     return df.crossJoin(total).select("w", (F.log(F.col("total") / F.col("df")) + 1).alias("idf"))  # one row of totals
@@ -68,7 +68,7 @@ def _idf(spark, sf_dir):
 
 @query("AGG27", f"WITH {_TOKENS} SELECT w, round(idf, 6) AS idf FROM idf")
 def idf(spark, sf_dir):
-    return _idf(spark, sf_dir).select("w", F.round("idf", 6).alias("idf"))
+    return _idf(spark, sf_dir, _tokens(spark, sf_dir, "documents", "doc_id")).select("w", F.round("idf", 6).alias("idf"))
 
 
 @query(
@@ -79,9 +79,12 @@ def idf(spark, sf_dir):
     SELECT item_id, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS r FROM f) WHERE r <= 8""",
 )
 def tfidf_f1_rank(spark, sf_dir):
-    """The eight documents most like each item: weighted F1 over informative shared tokens, by an inverted index."""
-    weight = _idf(spark, sf_dir)
-    docs, items = _tokens(spark, sf_dir, "documents", "doc_id"), _tokens(spark, sf_dir, "benchmark", "item_id")
+    """The eight documents most like each item: weighted F1 over informative shared tokens, by an inverted index.
+
+    Texts are cut into words once; frequencies, weights and the index read the written words.
+    """
+    docs, items = durable(_tokens(spark, sf_dir, "documents", "doc_id"), "words"), _tokens(spark, sf_dir, "benchmark", "item_id")
+    weight = durable(_idf(spark, sf_dir, docs), "weights")
     item = items.join(weight, "w", "left").select("item_id", "w", F.coalesce("idf", F.lit(1.0)).alias("idf"))
     item_sum = item.groupBy("item_id").agg(F.sum("idf").alias("is"))
     doc_sum = docs.join(weight, "w").groupBy("doc_id").agg(F.sum("idf").alias("ds"))
@@ -107,10 +110,12 @@ def haystack(spark, sf_dir):
 
 @query("SRT08", "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents), c AS (SELECT *, lag(line) OVER w AS before, lead(line) OVER w AS after FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY n)) SELECT doc_id, n, left(coalesce(before, ''), 40) AS before, left(coalesce(after, ''), 40) AS after FROM c WHERE regexp_matches(line, '(?i)licen[sc]ed')")
 def grep_context(spark, sf_dir):
-    """Lines that match a pattern with the lines around them, taken from the row itself."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n").alias("lines")).select("doc_id", "lines", F.posexplode("lines").alias("i", "line"))
+    """Lines that match a pattern with the lines around them; only those leave their document's array."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n").alias("lines"))
     near = lambda i: F.left(F.coalesce(F.get("lines", i), F.lit("")), F.lit(40))
-    return docs.filter(F.col("line").rlike("(?i)licen[sc]ed")).select("doc_id", (F.col("i") + 1).cast("long").alias("n"), near(F.col("i") - 1).alias("before"), near(F.col("i") + 1).alias("after"))
+    places = F.transform("lines", lambda x, i: F.when(x.rlike("(?i)licen[sc]ed"), i))
+    met = F.transform(F.filter(places, lambda i: i.isNotNull()), lambda i: F.struct((i + 1).cast("long").alias("n"), near(i - 1).alias("before"), near(i + 1).alias("after")))
+    return docs.select("doc_id", F.inline(met))
 
 
 @query(

@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -113,14 +113,29 @@ def volume(spark: SparkSession, path: str, dims: tuple[int, int, int], dtype: st
 
 
 def text_lines(words: DataFrame, page: str, tolerance: float) -> DataFrame:
-    """Words (page, x, y, text) to lines: a word more than ``tolerance`` below the one before opens a line."""
-    from pyspark.sql import Window
+    """Words (page, x, y, text) to lines (page, line from 0, text), each read from left to right.
 
-    w = Window.partitionBy(page).orderBy("y", "x")
-    opens = (F.col("y") - F.lag("y").over(w) > tolerance).cast("int")
-    numbered = words.withColumn("line", F.sum(F.coalesce(opens, F.lit(0))).over(w))
-    ordered = F.transform(F.sort_array(F.collect_list(F.struct("x", "text"))), lambda x: x["text"])
-    return numbered.groupBy(page, "line").agg(F.array_join(ordered, " ").alias("text"))
+    Words are taken in bands of ``tolerance`` from the top, in a band from the
+    left; a word no farther than ``tolerance`` from the first word of the open
+    line joins it.  Words without a place or text are left out.
+    """
+    whole = words.dropna(subset=["x", "y", "text"]).select(page, F.col("x").cast("double"), F.col("y").cast("double"), "text")
+    kind = whole.schema[page].dataType.simpleString()
+
+    def run(table: pa.Table) -> pa.Table:  # the words of one page
+        x, y = (table.column(c).to_numpy() for c in ("x", "y"))
+        text = table.column("text").to_pylist()
+        lines, top = [], None
+        for i in sorted(range(len(text)), key=lambda i: (round(y[i] / tolerance), x[i], y[i], text[i])):
+            if top is None or abs(y[i] - top) > tolerance:
+                lines.append([])
+                top = y[i]
+            lines[-1].append(i)
+        joined = [" ".join(text[i] for i in sorted(held, key=lambda i: x[i])) for held in lines]
+        name = table.column(page).combine_chunks().take(pa.array([0] * len(lines), pa.int64()))
+        return pa.table({page: name, "line": pa.array(range(len(lines)), pa.int64()), "text": pa.array(joined, pa.string())})
+
+    return whole.groupBy(page).applyInArrow(run, f"`{page}` {kind}, line long, text string")
 
 
 def clean_lines(lines: DataFrame) -> DataFrame:
@@ -130,6 +145,27 @@ def clean_lines(lines: DataFrame) -> DataFrame:
     return lines.filter((letters >= 3) & (signs <= 0.3 * F.length("value")))
 
 
+def rejoined(lines: DataFrame, lexicon: DataFrame, page: str, line: str) -> DataFrame:
+    """Lines (``value``) with words broken at their ends joined, where the whole word is in ``lexicon`` (word, lower case).
+
+    The line after it gives all it has to the line that ends in the first half
+    and is empty from then on, so it joins none itself.
+    """
+    w = Window.partitionBy(page).orderBy(line)
+    after = F.ltrim(F.coalesce(F.lead("value").over(w), F.lit("")))
+    head, tail = F.regexp_extract("value", r"(?U)(\w+)[-\u2014\u2013]$", 1), F.regexp_extract("__after", r"(?U)^(\w+)", 1)
+    broken = lines.withColumn("__after", after).withColumn("__word", F.when((head != "") & (tail != ""), F.lower(F.concat(head, tail))))
+    known = lexicon.select(F.col("word").alias("__word")).distinct().withColumn("__known", F.lit(True))
+    met = broken.join(known, "__word", "left").withColumn("__joins", F.coalesce("__known", F.lit(False)))
+    # in a run of lines that could join, every other one does
+    run = F.row_number().over(w) - F.row_number().over(Window.partitionBy(page, "__joins").orderBy(line))
+    place = F.row_number().over(Window.partitionBy(page, "__joins", "__run").orderBy(line))
+    taken = met.withColumn("__run", run).withColumn("__joins", F.col("__joins") & (place % 2 == 1))
+    gone = F.coalesce(F.lag("__joins").over(w), F.lit(False))
+    value = F.when(gone, F.lit("")).when(F.col("__joins"), F.concat(F.regexp_replace("value", r"[-\u2014\u2013]$", ""), "__after")).otherwise(F.col("value"))
+    return taken.withColumn("value", value).select(*lines.columns)
+
+
 def tsv(spark: SparkSession, paths: list[str], columns: list[str], header: int = 1) -> tuple[DataFrame, DataFrame]:
     """Rows of tab-separated files (with their file's place in ``paths`` and line number), and lines with too few fields.
 

@@ -148,3 +148,25 @@ def test_unicode_order_is_whole(spark, tmp_path):
     texts = [(i, " ".join(["no1", "a,b", *want[i::7], *want[i::3]])) for i in range(7)]
     spark.createDataFrame(texts, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     assert [r["w"] for r in registry.queries()["unicode_order"](spark, str(tmp_path)).collect()] == want
+
+
+def test_as_of_one_busy_place(spark):
+    """Most rows at one place, ties and nulls on both sides, against a plain loop; the parts stay even."""
+    import random
+
+    rng = random.Random(8)
+    asked = [(i, 50 if rng.random() < 0.5 else rng.randrange(100)) for i in range(600)] + [(600, None), (601, -1)]
+    known = [(rng.randrange(100), f"v{i}", rng.choice([None, 1, 2])) for i in range(60)] + [(50, f"w{i}", i) for i in range(100)] + [(None, "no", 0)]
+    left = spark.createDataFrame(asked, "id long, t int")
+    right = spark.createDataFrame(known, "s long, v string, n int")
+    got = {r["id"]: (r["t"], r["v"], r["n"]) for r in spatial.as_of(left, right, "t", "s", ["v", "n"], 7).collect()}
+    held = [k for k in known if k[0] is not None]
+    want = {}
+    for i, t in asked:
+        before = [k for k in held if t is not None and k[0] <= t]
+        if before:
+            best = max(before, key=lambda k: (k[0], k[1], -1 if k[2] is None else k[2]))
+            want[i] = (t, best[1], best[2])
+    assert got == want
+    assert spatial.as_of(left, right.limit(0), "t", "s", ["v"], 7).count() == 0
+    assert spatial.as_of(left.limit(0), right, "t", "s", ["v"], 7).count() == 0

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strataloom.operators import paths, sequences
-from strataloom.sources import files, sinks
+from strataloom.sources import files, rasters, sinks
 from strataloom.streaming import events as streams
 
 SF = "/root/testdata/sf0.001"
@@ -118,3 +118,79 @@ def test_tsv_multimap_and_first(spark, tmp_path):
     assert {r["k"]: r["values"] for r in files.multimap(good, "k", "v").collect()} == {"x": ["2", "1"], "y": ["1", "9"], "z": ["3"]}
     assert {r["k"]: (r["v"], r["file"]) for r in files.first_of(good, "k").collect()} == {"x": ("2", 0), "y": ("1", 0), "z": ("3", 2)}
     assert files.tsv(spark, [str(tmp_path / "none.tsv")], ["k", "v"])[0].count() == 0
+
+
+def test_drifting_lines(spark):
+    """A line reaches as far as its first word, not its last, as a plain loop has it."""
+    import random
+
+    rng = random.Random(5)
+    words = [(p, rng.uniform(0, 50), rng.uniform(0, 30), f"w{i}") for p in range(3) for i in range(40)]
+    table = spark.createDataFrame(words + [(None, 1.0, 1.0, "n"), (1, None, 1.0, "x")], "page int, x double, y double, text string")
+    got = {}
+    for r in files.text_lines(table, "page", 2.5).orderBy("line").collect():
+        got.setdefault(r["page"], []).append(r["text"])
+    assert got.pop(None) == ["n"]
+    for page, found in got.items():
+        lines = []
+        for w in sorted((w for w in words if w[0] == page), key=lambda w: (round(w[2] / 2.5), w[1])):
+            if not lines or abs(w[2] - lines[-1][0][2]) > 2.5:
+                lines.append([])
+            lines[-1].append(w)
+        assert found == [" ".join(w[3] for w in sorted(x, key=lambda w: w[1])) for x in lines]
+    assert files.text_lines(table.limit(0), "page", 2.5).count() == 0
+
+
+def test_rejoined(spark):
+    import re
+
+    pages = [["the cere-", "  bellum is inter-", "nal to a well-", "known place", "open-"], ["brain\u2014", "stem", "spi-", "nal-", "cord"], ["é-", "té", "", "x-"]]
+    words = {"cerebellum", "internal", "brainstem", "spinal", "nalcord", "été", "openbrain"}
+    lines = spark.createDataFrame([(p, i, v) for p, rows in enumerate(pages) for i, v in enumerate(rows)], "page int, line int, value string")
+    got = {(r["page"], r["line"]): r["value"] for r in files.rejoined(lines, spark.createDataFrame([(w,) for w in words], "word string"), "page", "line").collect()}
+    for p, rows in enumerate(pages):
+        rows = list(rows)
+        for i in range(len(rows) - 1):
+            head, tail = re.search("(\\w+)[-\u2014\u2013]$", rows[i]), re.match(r"\s*(\w+)", rows[i + 1])
+            if head and tail and (head[1] + tail[1]).lower() in words:
+                rows[i], rows[i + 1] = rows[i][:-1] + rows[i + 1].lstrip(), ""
+        assert [got[p, i] for i in range(len(rows))] == rows
+
+
+def raster(voxels, code, order="<", rows=None, rotation=None, size=(1.0, 1.0, 1.0), turn=1.0, scale=(0.0, 0.0)):
+    head = bytearray(352)
+    put = lambda at, kind, *v: head.__setitem__(slice(at, at + np.array(v, order + kind).nbytes), np.array(v, order + kind).tobytes())
+    put(0, "i4", 348), put(40, "i2", 3, *voxels.shape, 1, 1, 1, 1), put(70, "i2", code), put(76, "f4", turn, *size), put(108, "f4", 352), put(112, "f4", *scale)
+    if rows is not None:
+        put(254, "i2", 1), put(280, "f4", *np.ravel(rows))
+    if rotation is not None:
+        put(252, "i2", 1), put(256, "f4", *rotation)
+    head[344:348] = b"n+1\0"
+    return bytes(head) + voxels.astype(voxels.dtype.newbyteorder(order)).tobytes(order="F")
+
+
+def test_rasters(spark, tmp_path):
+    """Each cell lies in the world where the header puts it, whatever the order of the axes."""
+    rng = np.random.default_rng(3)
+    v = rng.integers(0, 4, (3, 4, 5)).astype(np.int16)
+    turned = [[0, 0, -2, 9], [3, 0, 0, -1], [0, -1, 0.1, 4]]  # stored by y, -z, -x
+    (tmp_path / "a.nii").write_bytes(raster(v, 4, rows=turned))
+    (tmp_path / "b.nii.gz").write_bytes(gzip.compress(raster(v, 4, ">", rows=turned, scale=(2.0, 1.0))))
+    rows = rasters.nifti(spark, str(tmp_path)).collect()
+    for name, change in (("a.nii", lambda x: x), ("b.nii.gz", lambda x: 2 * x + 1)):
+        mine = [r for r in rows if r["file"].endswith(name)]
+        want = {tuple(np.round(np.array(turned) @ [*at, 1], 4)): change(x) for at, x in np.ndenumerate(v) if change(x)}
+        assert {tuple(np.round([r["x"], r["y"], r["z"]], 4)): r["value"] for r in mine} == want and len(mine) == len(want)
+        for axis, cell in zip("xyz", "ijk"):  # cells run with the world
+            assert np.corrcoef([r[axis] for r in mine], [r[cell] for r in mine])[0, 1] > 0.9
+    # half a turn around z by the rotation, with cells of 2 x 3 x 4
+    voxels, matrix = rasters.decoded(raster(v, 4, rotation=(0, 0, 1, 5, 6, 7), size=(2, 3, 4)))
+    assert np.allclose(matrix, [[-2, 0, 0, 5], [0, -3, 0, 6], [0, 0, 4, 7], [0, 0, 0, 1]])
+    out, placed = rasters.canonical(voxels, matrix)
+    assert np.array_equal(out, v[::-1, ::-1]) and np.allclose(placed, [[2, 0, 0, 1], [0, 3, 0, -3], [0, 0, 4, 7], [0, 0, 0, 1]])
+    # without either, around the middle, x reversed; a given matrix goes before all
+    assert np.allclose(rasters.decoded(raster(v, 4, size=(1, 2, 3)))[1][:3], [[-1, 0, 0, 1], [0, 2, 0, -3], [0, 0, 3, -6]])
+    assert np.array_equal(rasters.decoded(raster(v, 4), 2 * np.eye(4))[1], 2 * np.eye(4))
+    for broken in (b"", b"x" * 400, raster(v, 4)[:-1], raster(v, 128)):
+        with pytest.raises(ValueError):
+            rasters.decoded(broken)
