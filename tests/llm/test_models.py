@@ -81,3 +81,102 @@ def test_rare_languages_are_learned(spark):
     model = language.train(table, rows=60)
     got = {r["doc_id"]: r["lang_pred"] for r in language.identify(table, model).collect()}
     assert sum(got[d] == x for d, _, x in docs) >= 0.99 * len(docs) and all(got[d] == "cc" for d, _, x in docs if x == "cc")
+
+
+def test_machine_scores_pair_by_pair():
+    """The score of each text against sums over all pairs of its terms, with terms cut out by a regular expression."""
+    import math
+    import re
+
+    rng = random.Random(4)
+    words = ["vile", "vileness", "Viles", "folk", "folks-of", "lamp", "éa", "x1y", "stone", "stones", "longerword"]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(12))) for _ in range(60)] + ["", None, "  \n ", "vile " * 5000]
+    held = {}
+    for lo, hi, cell, doc in toxicity.cells(pa.array(texts)):
+        for c, d in zip(cell, doc):
+            held.setdefault(lo + d, set()).add(int(c))
+    # the same term has the same cell in every text, alone or not
+    alone = {}
+    for w in words:
+        for lo, hi, cell, doc in toxicity.cells(pa.array([w])):
+            alone[w] = {int(c) for c in cell}
+    for i, t in enumerate(texts):
+        assert held.get(i, set()) == set().union(*[alone[w] for w in (t or "").split()])
+    # a word has a cell of its own and one for each beginning that is shorter than it
+    for w in ("vile", "vileness", "lamp", "stone", "stones", "longerword"):
+        assert re.fullmatch("[a-z]+", w) and len(alone[w]) == 1 + sum(len(w) > k for k in toxicity.BEGINNINGS)
+    chosen = np.unique(np.array([c for s in held.values() for c in s if c % 3], np.int64))
+    nrng = np.random.default_rng(2)
+    m = toxicity.Machine(chosen, -0.7, nrng.normal(0, 1, len(chosen) + 1), nrng.normal(0, 0.5, (len(chosen) + 1, toxicity.FACTORS)))
+    m.weight[0], m.factor[0] = 0, 0
+    place = {int(c): i + 1 for i, c in enumerate(chosen)}
+    for i, s in enumerate(m.score(pa.array(texts))):
+        mine = [place[c] for c in sorted(held.get(i, set())) if c in place]
+        z = m.bias + sum(m.weight[a] for a in mine) + sum(float(np.dot(m.factor[a], m.factor[b])) for k, a in enumerate(mine) for b in mine[:k])
+        assert abs(s - 1 / (1 + math.exp(-z))) < 1e-9
+
+
+def test_gradients_lower_the_loss():
+    """On rows that weights alone cannot part, the fitted factors do better than the same machine without them."""
+    rng = random.Random(6)
+    rows, labels = [], []
+    for _ in range(2000):
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        rows.append(np.array([1] * a + [2] * b + [3 + rng.randrange(5)], np.int64))
+        labels.append(float(a == b))
+    m = toxicity.fit(rows, np.array(labels), np.arange(1, 8))
+
+    def right(machine):
+        slot, doc = np.concatenate([machine.slot(r) for r in rows]), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+        return np.mean((machine.margin(slot, doc, len(rows))[0] > 0) == np.array(labels))
+
+    plain = toxicity.Machine(m.cell, m.bias, m.weight, np.zeros_like(m.factor))
+    assert right(m) > right(plain)
+
+
+def test_language_scores_gram_by_gram():
+    """Counts, weights and probabilities against dictionaries of n-grams of each text by itself."""
+    import math
+
+    texts = ["Der Bär und die Bären!", "the  bear, the BEARS", "x", "12 3", "", None, "ß é\n\tß", "ab" * 400]
+    grams, rows = {}, []
+
+    def folded(t):
+        out = ""
+        for c in t:
+            low = c.lower() if c.isalpha() else " "
+            out += "" if low == " " and out.endswith(" ") else low
+        return out
+
+    # the cell of an n-gram is learned from a text that is that n-gram, less its shorter ones
+    def cell(g):
+        if g not in grams:
+            ((_, _, x, _),) = language.counts(pa.array([g]))
+            left = x[0].copy()
+            for k in range(1, len(g)):
+                for i in range(len(g) - k + 1):
+                    left[cell(g[i : i + k])] -= 1
+            assert left.sum() == 1 and left.min() == 0
+            grams[g] = int(left.argmax())
+        return grams[g]
+
+    got = [(r, h) for _, _, x, has in language.counts(pa.array(texts)) for r, h in zip(x, has)]
+    for t, (row, has) in zip(texts, got):
+        f, want = folded(t or ""), {}
+        for k in range(1, language.GRAMS + 1):
+            for i in range(len(f) - k + 1):
+                want[cell(f[i : i + k])] = want.get(cell(f[i : i + k]), 0) + 1
+        assert {int(c): int(row[c]) for c in np.flatnonzero(row)} == want and has == any(c.isalpha() for c in t or "")
+        rows.append(want)
+    rng = np.random.default_rng(5)
+    m = language.Model(["aa", "bb", "cc"], rng.uniform(1, 3, language.CELLS), rng.normal(0, 2, (language.CELLS + 1, 3)), 1.7)
+    best, score = m.predict(pa.array(texts))
+    for i, (t, held) in enumerate(zip(texts, rows)):
+        if not any(c.isalpha() for c in t or ""):
+            assert best[i] == "und" and score[i] == 0
+            continue
+        value = {c: (1 + math.log(n)) * m.idf[c] for c, n in held.items()}
+        size = math.sqrt(sum(v * v for v in value.values()))
+        z = [(sum(v / size * m.weight[c, j] for c, v in value.items()) + m.weight[language.CELLS, j]) / m.temperature for j in range(3)]
+        p = [math.exp(x - max(z)) / sum(math.exp(y - max(z)) for y in z) for x in z]
+        assert best[i] == m.langs[p.index(max(p))] and abs(score[i] - max(p)) < 1e-9
