@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataloom.llm import decontamination, importance, jaccard, language, packing, quality, secrets, sharding, substrings, templates, toxicity
+from strataloom.llm import decontamination, importance, jaccard, language, packing, periodic, quality, secrets, sharding, substrings, templates, toxicity
+from strataloom.llm.exprs import let, words
 from strataloom.sources.tables import table
 
 
@@ -70,6 +71,33 @@ def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drawn.select("doc_id", "n_features", "weight", "score", F.col("rank").cast("long").alias("rank"))
 
 
+def with_period(doc_id: Column, text: Column) -> Column:
+    """The text, or for one doc_id in ten its words with a tail that repeats with a period from the doc_id."""
+    h = F.crc32(doc_id.cast("string").cast("binary"))
+    g = F.floor(h / 10)
+
+    def repeated(w: Column) -> Column:
+        a = g % F.size(w)
+        return let(F.struct(a.cast("int").alias("a"), (1 + F.floor((F.size(w) - a) / (3 + g % 8))).cast("int").alias("p")), lambda at: told(w, at["a"], at["p"]))
+
+    def told(w: Column, a: Column, p: Column) -> Column:
+        return F.array_join(F.transform(w, lambda word, i: F.when(i < a, word).otherwise(F.get(w, a + (i - a) % p))), " ")
+
+    return F.when(h % 10 == 0, let(words(text), lambda w: F.when(F.size(w) > 0, repeated(w)))).otherwise(text)
+
+
+def op12_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", with_period(F.col("doc_id"), F.col("text")).alias("text"))
+    longest = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("less"), r["start"].alias("start"), r["period"].alias("period"))))
+    told = F.array_join(F.transform("runs", lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n"))), "")
+    found = periodic.collapse(docs).withColumn("longest", longest)
+    length, period = -F.col("longest.less"), F.col("longest.period")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("longest.start").alias("start"), length.alias("length"), period.alias("period"),
+        F.floor(1000 * length / period).alias("exponent_milli"), F.sha2(told, 256).alias("runs_sha256"), F.sha2("text", 256).alias("collapsed_sha256"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
