@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataloom.llm import decontamination, importance, jaccard, language, packing, periodic, quality, secrets, sharding, substrings, templates, toxicity
+from strataloom.llm import decontamination, importance, jaccard, language, packing, periodic, quality, secrets, sharding, substrings, templates, toxicity, vectors
 from strataloom.llm.exprs import let, words
 from strataloom.sources.tables import table
 
@@ -98,6 +98,10 @@ def op12_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near(table(spark, sf_dir, "embeddings"), 0.98)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
@@ -143,6 +147,18 @@ SELECT e.doc_id, n_features, weight, score, CASE WHEN rank <= 10 * n // 100 THEN
 """
 
 
+_NEAR_VECTORS = """
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings),
+ok AS (SELECT * FROM v WHERE label IS NOT NULL AND v IS NOT NULL AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_sum(list_transform(v, lambda x: x * x)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id < b.vec_id AND len(a.v) = len(b.v) WHERE list_cosine_similarity(a.v, b.v) >= 0.98),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+n AS (SELECT a, count(*) AS n FROM e GROUP BY a),
+r(x, m) AS (SELECT a, a FROM e UNION SELECT r.x, e.b FROM r JOIN e ON e.a = r.m),
+c AS (SELECT x, min(m) AS m FROM r GROUP BY x)
+SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(m, vec_id) AS component_id, vec_id = coalesce(m, vec_id) AS kept FROM v LEFT JOIN n ON a = vec_id LEFT JOIN c ON x = vec_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL for the operators it can express in reasonable time.
 
@@ -150,4 +166,4 @@ def oracle_sql() -> dict[str, str]:
     parse that depends on the order of templates; tests hold them against
     brute-force versions or held-out labels.
     """
-    return {"op2_substring_dedup": _REPEATS, "op4_ngram_jaccard": _SIMILAR, "op11_importance": _IMPORTANCE}
+    return {"op2_substring_dedup": _REPEATS, "op4_ngram_jaccard": _SIMILAR, "op11_importance": _IMPORTANCE, "op13_near_vectors": _NEAR_VECTORS}
