@@ -5,6 +5,8 @@ Only sums of products leave the executors, a fixed number whatever the rows.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -69,7 +71,12 @@ def icp(points: DataFrame, refs: DataFrame, key: str, ref: str, axes: list[str],
         matrix = similarity(now.filter(F.col("distance") <= limit), axes, target, scale)
         discard(now)
     now = met()
-    n = int(now.count() * trim)
-    least = now.orderBy("distance").limit(n).agg(F.sqrt(F.avg(F.col("distance") ** 2))).first()[0]
+    count = now.count()
+    n = int(count * trim)
+    # the n smallest distances: those below the last of them, and it for the rest; no task sorts the table
+    last = stats.exact_quantile(now, "distance", (n - 1) / (count - 1) if count > 1 else 0.0) if n else None
+    below = F.col("distance") < F.lit(last)
+    held, total = now.agg(F.count_if(below), F.coalesce(F.sum(F.when(below, F.col("distance") ** 2)), F.lit(0.0))).first()
+    least = math.sqrt((total + (n - held) * last**2) / n) if n else None
     discard(now)
     return matrix, least

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strataloom.operators import qgrams
 from strataloom.session import ship
 
 
@@ -17,28 +18,35 @@ def _top(rows: DataFrame, q: str, order: list, top: int) -> DataFrame:
     return rows.withColumn("__r", rank).filter(F.col("__r") <= top).drop("__r")
 
 
-def exact_then_fuzzy(asked: DataFrame, keys: DataFrame, q: str, k: str, block: int, most: int, least: int, top: int) -> DataFrame:
-    """(q, k, d): equal keys, or for those asked without one, keys within ``most`` edits and the same beginning."""
+def exact_then_fuzzy(asked: DataFrame, keys: DataFrame, q: str, k: str, block: int | None, most: int, least: int, top: int) -> DataFrame:
+    """(q, k, d): equal keys, or for those asked without one and of ``least`` characters, keys within ``most`` edits.
+
+    With ``block``, only keys with the same first characters are looked at; without,
+    all keys, by their q-grams.  Null strings match nothing.
+    """
     exact = asked.join(keys, F.col(q) == F.col(k)).withColumn("d", F.lit(0))
-    rest = asked.join(exact.select(q), q, "left_anti").filter(F.length(q) >= least).withColumn("__b", F.left(F.col(q), F.lit(block)))
-    near = rest.join(keys.withColumn("__b", F.left(F.col(k), F.lit(block))), "__b").filter(F.abs(F.length(q) - F.length(k)) <= most)
-    near = near.withColumn("d", F.levenshtein(q, k)).filter(F.col("d") <= most).select(q, k, "d")
+    rest = asked.join(exact.select(q), q, "left_anti").filter(F.length(q) >= least)
+    if block is None:
+        near = qgrams.alike(rest, keys, q, k, edits=most).select(q, k, F.col("errors").alias("d"))
+    else:
+        near = rest.withColumn("__b", F.left(F.col(q), F.lit(block))).join(keys.withColumn("__b", F.left(F.col(k), F.lit(block))), "__b").filter(F.abs(F.length(q) - F.length(k)) <= most)
+        near = near.withColumn("d", F.levenshtein(q, k)).filter(F.col("d") <= most).select(q, k, "d")
     return _top(exact.select(q, k, "d").unionByName(near), q, [F.col("d"), F.col(k)], top)
 
 
 def ratio_candidates(asked: DataFrame, keys: DataFrame, q: str, k: str, cutoff: float, top: int) -> DataFrame:
     """(q, k, ratio) by twice the length of matching blocks over both lengths, for all pairs that can reach the cutoff.
 
-    Pairs meet by length: twice the shorter over both lengths bounds the ratio.
-    Next come the characters in common, a bound too, and only then the blocks, with
-    the key as first and the asked as second sequence, as ``get_close_matches`` has them.
+    Matching blocks are characters in common, so pairs meet by those: at least
+    cutoff / 2 of both lengths, and of q alone at least cutoff / (2 - cutoff), since
+    that is how short the other can be.  Then come the blocks, with the key as first
+    and the asked as second sequence, as ``get_close_matches`` has them.  Null and
+    empty strings match nothing.
     """
     ship(asked.sparkSession)
-    size = F.length(q)
-    # one length more at both ends, so that no rounding loses a pair
-    lengths = F.sequence(F.greatest(F.floor(size * (cutoff / (2 - cutoff))) - 1, F.lit(0)), F.ceil(size * ((2 - cutoff) / cutoff)) + 1)
-    sized = keys.select(k).withColumn("__n", F.length(k).cast("long"))
-    pairs = asked.select(q, F.explode(lengths).alias("__n")).join(sized, "__n").select(q, k)
+    few = F.ceil(F.length(q) * (cutoff / (2 - cutoff)) - 1e-9)
+    both = F.ceil((F.length(q) + F.length(k)) * (cutoff / 2) - 1e-9)
+    pairs = qgrams.candidates(asked.filter(F.length(q) > 0), keys, q, k, F.lit(1), few, both)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         match, last = difflib.SequenceMatcher(None), None

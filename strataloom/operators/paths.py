@@ -95,36 +95,41 @@ def viterbi(rows: DataFrame, key: str, step: str, place: str, score: str, penalt
     return sorted_.mapInArrow(run, f"{key} long, {step} long, {place} int")
 
 
-def assigned(rows: DataFrame, key: str, place: str, score: str, heights: tuple[float, ...], names: tuple[str, ...], spread: float, most: int) -> DataFrame:
-    """(key, name, place): ``names`` put in order on places 0 to ``most`` - 1 of each key, with the largest total.
+#: Fixed values (inventory row WIN16): least and most gap after a name, in heights of that name.
+GAPS = (0.45, 1.75)
+
+
+def assigned(rows: DataFrame, key: str, place: str, score: str, heights: tuple[float, ...], names: tuple[str, ...], spread: float, most: int | None = None) -> DataFrame:
+    """(key, name, place): ``names`` put in order on places from 0 of each key, with the largest total.
 
     A name earns the score of its place (0 where there is no row); a gap between
-    neighbours is from 0.45 to 1.75 of the height of the first and costs half
-    its squared departure from it, in units of ``spread`` times the height.  Of
-    equal totals the one through smaller places.  A key is one vector of places.
+    neighbours is in the range GAPS of the height of the first and costs half its
+    squared departure from it, in units of ``spread`` times the height.  Places
+    end before ``most``, or behind the key's last row, or where the smallest gaps
+    need more, there.  Of equal totals the one through smaller places counts.  A
+    key is one vector of places; rows before place 0 or without one are left out.
     """
     ship(rows.sparkSession)
+    limits = [(int(round(GAPS[0] * h)), int(round(GAPS[1] * h))) for h in heights]
 
     def best(found: list[tuple]) -> list[int]:
-        gain = np.zeros(most)
-        for p, v in found:
-            if 0 <= p < most:
-                gain[p] += v
-        total, back = gain.copy(), []
-        for h in heights:
-            reach, came = np.full(most, -np.inf), np.zeros(most, int)
-            for gap in range(int(round(1.75 * h)), int(round(0.45 * h)) - 1, -1):  # the widest first, so ties keep the smaller place
-                cost = 0.5 * ((gap - h) / (spread * h)) ** 2
-                tried = np.full(most, -np.inf)
-                tried[gap:] = total[: most - gap] - cost
-                better = tried > reach
-                reach[better], came[better] = tried[better], np.flatnonzero(better) - gap
-            back.append(came)
-            total = reach + gain
-        at = [int(total.argmax())]
-        for came in reversed(back):
-            at.append(int(came[at[-1]]))
-        return at[::-1]
+        at, value = (np.array(c) for c in zip(*found))
+        size = most or max(int(at.max()), sum(low for low, _ in limits)) + 1
+        inside = (at >= 0) & (at < size)
+        gain = np.bincount(at[inside].astype(int), value[inside].astype(float), size)
+        # row p of a table holds the totals of all places from which a name can be followed by one at p
+        ends, chosen = gain, []
+        for h, (low, high) in zip(heights, limits):
+            table = np.lib.stride_tricks.sliding_window_view(np.concatenate([np.full(high, -np.inf), ends]), high - low + 1)[:size]
+            departure = (np.arange(high, low - 1, -1) - h) / (spread * h)
+            worth = table - departure**2 / 2
+            column = worth.argmax(axis=1)
+            chosen.append(np.arange(size) - high + column)
+            ends = np.take_along_axis(worth, column[:, None], axis=1)[:, 0] + gain
+        way = [int(ends.argmax())]
+        while chosen:
+            way.insert(0, int(chosen.pop()[way[0]]))
+        return way
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, held, out = None, [], []
@@ -145,5 +150,6 @@ def assigned(rows: DataFrame, key: str, place: str, score: str, heights: tuple[f
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.int32()))], [key, "name", place])
 
     count = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    dealt = rows.select(F.col(key).cast("long"), F.col(place).cast("int"), F.col(score).cast("double")).repartition(count, key).sortWithinPartitions(key, place)
+    dealt = rows.select(F.col(key).cast("long"), F.col(place).cast("int"), F.coalesce(F.col(score).cast("double"), F.lit(0.0)).alias(score)).filter(F.col(place) >= 0)
+    dealt = dealt.repartition(count, key).sortWithinPartitions(key, place)
     return dealt.mapInArrow(run, f"{key} long, name string, {place} int")

@@ -21,17 +21,26 @@ def percentiles(rows: DataFrame, value: str, shares: dict[str, float], *keys: st
     Rows are counted in cells of value, of which only the ones with the wanted
     ranks are looked at again, cut finer until they are small; those are sorted.
     No task holds the values of a key of more than HELD_ROWS; the result does not
-    depend on that.  Nulls and NaN are left out, as are keys
+    depend on that, but for rounding.  Infinite values rank before or behind all
+    others and are counted, not cut; between one and a finite value lies an
+    infinite one, between both NaN.  Nulls and NaN are left out, as are keys
     without other values.
     """
     known = rows.select(*keys, F.col(value).cast("double").alias("v")).filter(F.col("v").isNotNull() & ~F.isnan("v"))
-    ends = durable(known.groupBy(*keys).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")), "ends")
-    if ends.filter(F.col("n") > HELD_ROWS).isEmpty():
+    most = known.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    if most <= HELD_ROWS:
         got = known.groupBy(*keys).agg(*[F.percentile("v", F.lit(q)).alias(k) for k, q in shares.items()], F.count("*").alias("n"))
         return got.filter("n > 0").drop("n")
+    inf = float("inf")
+    finite = (F.col("v") > -inf) & (F.col("v") < inf)
+    sides = [F.count_if(F.col("v") == -inf).alias("below"), F.count_if(F.col("v") == inf).alias("over")]
+    ends = durable(known.groupBy(*keys).agg(F.count("*").alias("n"), *sides, F.min(F.when(finite, F.col("v"))).alias("lo"), F.max(F.when(finite, F.col("v"))).alias("hi")), "ends")
+    known = known.filter(finite)
     asked = F.explode(F.array(*[F.struct(F.lit(k).alias("share"), F.lit(q).alias("q")) for k, q in shares.items()]))
-    places = ends.select(*keys, "n", "lo", "hi", asked.alias("a")).withColumn("at", (F.col("n") - 1) * F.col("a.q"))
-    ranks = places.select(*keys, "lo", "hi", F.lit(0).cast("long").alias("before"), F.col("n").alias("c"), F.explode(F.array(F.floor("at"), F.ceil("at"))).alias("rank")).distinct()
+    places = ends.select(*keys, "n", "below", "over", "lo", "hi", asked.alias("a")).withColumn("at", (F.col("n") - 1) * F.col("a.q"))
+    ranks = places.select(*keys, "n", "below", "over", "lo", "hi", F.explode(F.array(F.floor("at"), F.ceil("at"))).alias("rank")).distinct()
+    ranks = ranks.filter((F.col("rank") >= F.col("below")) & (F.col("rank") < F.col("n") - F.col("over")))
+    ranks = ranks.select(*keys, "lo", "hi", F.col("below").alias("before"), (F.col("n") - F.col("below") - F.col("over")).alias("c"), "rank")
     made: list[DataFrame] = []
     span = [*keys, "lo", "hi", "before"]
 
@@ -44,7 +53,7 @@ def percentiles(rows: DataFrame, value: str, shares: dict[str, float], *keys: st
     many = lambda table, c: not table.filter((F.col("lo") < F.col("hi")) & (F.col(c) > SORTED_ROWS)).isEmpty()
     more = many(ends, "n")
     while more:
-        cell = F.when(F.col("hi") > F.col("lo"), F.least(F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * CELLS), F.lit(CELLS - 1))).otherwise(F.lit(0))
+        cell = F.when(F.col("hi") > F.col("lo"), F.least(F.floor((F.col("v") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2) * CELLS), F.lit(CELLS - 1))).otherwise(F.lit(0))
         counted = within().groupBy(*span, cell.alias("cell")).agg(F.count("*").alias("c"), F.min("v").alias("least"), F.max("v").alias("most"))
         upto = F.sum("c").over(Window.partitionBy(*span).orderBy("cell").rowsBetween(Window.unboundedPreceding, 0))
         cut = counted.withColumn("upto", F.col("before") + upto).withColumnsRenamed({c: f"r_{c}" for c in span})
@@ -62,11 +71,16 @@ def percentiles(rows: DataFrame, value: str, shares: dict[str, float], *keys: st
     found = ranks.drop("c").join(cut, same & (F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("c"))).select(*keys, "rank", "v")
     found = found.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("rank", "v"))).alias("values"))
     at = lambda q: (F.col("n") - 1) * F.lit(q)
-    value_at = lambda place: F.try_element_at("values", place.cast("long"))
-    taken = lambda q: value_at(F.floor(at(q))) + (value_at(F.ceil(at(q))) - value_at(F.floor(at(q)))) * (at(q) - F.floor(at(q)))
+    value_at = lambda place: F.when(place < F.col("below"), -inf).when(place >= F.col("n") - F.col("over"), inf).otherwise(F.try_element_at("values", place.cast("long")))
+
+    def taken(q: float) -> Column:
+        lower, upper = value_at(F.floor(at(q))), value_at(F.ceil(at(q)))
+        part = at(q) - F.floor(at(q))
+        return F.when(lower == upper, lower).otherwise((1 - part) * lower + part * upper)
+
     other = found.withColumnsRenamed({k: f"k_{k}" for k in keys})
     same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"k_{k}")) for k in keys], F.lit(True))
-    return ends.join(other, same).select(*keys, *[taken(q).alias(k) for k, q in shares.items()])
+    return ends.join(other, same, "left").select(*keys, *[taken(q).alias(k) for k, q in shares.items()])
 
 
 def exact_quantile(rows: DataFrame, value: str, share: float) -> float | None:

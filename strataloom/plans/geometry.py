@@ -273,7 +273,7 @@ def ordered_names(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     day = F.datediff("ts", F.lit("2024-01-01").cast("date"))
     rows = e.groupBy("user_id", day.alias("place")).agg(F.sum(F.col("value") / 100).alias("score")).filter("place >= 0")
-    return paths.assigned(rows, "user_id", "place", "score", heights=(4, 6, 5, 7), names=("n0", "n1", "n2", "n3", "n4"), spread=0.25, most=366)
+    return paths.assigned(rows, "user_id", "place", "score", heights=(4, 6, 5, 7), names=("n0", "n1", "n2", "n3", "n4"), spread=0.25)
 
 
 _NARROW, _WIDE = 2.0, 12.0

@@ -25,6 +25,22 @@ def exact_then_fuzzy(spark, sf_dir):
     return linkage.exact_then_fuzzy(asked, keys, "q", "k", block=3, most=2, least=8, top=3)
 
 
+@query(
+    "JON14 JON16",
+    """WITH k AS (SELECT DISTINCT p_name AS k FROM part UNION SELECT DISTINCT lower(c_mktsegment) FROM customer UNION SELECT DISTINCT lower(event_type) FROM events),
+    q AS (SELECT DISTINCT 'x' || right(k, length(k) - 1) AS q FROM k UNION SELECT DISTINCT left(k, 2) || right(k, length(k) - 3) FROM k UNION SELECT DISTINCT k FROM k WHERE length(k) % 2 = 0),
+    e AS (SELECT q, k, 0 AS d FROM q JOIN k ON q = k), f AS (SELECT q, k, levenshtein(q, k) AS d FROM q JOIN k ON levenshtein(q, k) <= 2 WHERE q NOT IN (SELECT q FROM e) AND length(q) >= 4)
+    SELECT q, k, CAST(d AS INTEGER) AS d FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY d, k) AS r FROM (SELECT * FROM e UNION ALL SELECT * FROM f)) WHERE r <= 3""",
+)
+def exact_then_near(spark, sf_dir):
+    """Exact keys first; what has none is held against all keys by q-grams, at most two edits away wherever they are."""
+    keys = table(spark, sf_dir, "part").select(F.col("p_name").alias("k"))
+    keys = keys.union(table(spark, sf_dir, "customer").select(F.lower("c_mktsegment"))).union(table(spark, sf_dir, "events").select(F.lower("event_type"))).distinct()
+    rest = lambda n: F.right(F.col("k"), F.length("k") - n)
+    asked = keys.select(F.concat(F.lit("x"), rest(1)).alias("q")).union(keys.select(F.concat(F.left("k", F.lit(2)), rest(3)))).union(keys.filter(F.length("k") % 2 == 0)).distinct()
+    return linkage.exact_then_fuzzy(asked, keys, "q", "k", block=None, most=2, least=4, top=3)
+
+
 @query("JON16")
 def similar_titles(spark, sf_dir):
     """Candidates among all keys by matching-blocks ratio, a measure that SQL does not have; checked against a plain loop."""

@@ -63,6 +63,27 @@ def test_percentiles_by_rank(spark, monkeypatch):
     assert stats.exact_quantile(df.limit(0), "v", 0.5) is None
 
 
+def test_percentiles_of_values_without_bounds(spark, monkeypatch):
+    """Infinite values and the largest numbers of either sign end, by both ways."""
+    inf = math.inf
+    rows = [("a", float(v)) for v in range(40)] + [("a", inf)] * 20 + [("a", -inf)] * 3
+    rows += [("b", inf)] * 5 + [("c", -1.7e308), ("c", 1.7e308), ("c", 0.0), ("c", 1.0)] * 5 + [("d", -inf), ("d", inf)]
+    shares = {"lo": 0.0, "some": 0.25, "mid": 0.5, "high": 0.75, "top": 1.0}
+    for held, most, cells in ((10**6, 200_000, 4096), (0, 200_000, 4096), (0, 2, 4)):
+        monkeypatch.setattr(stats, "HELD_ROWS", held)
+        monkeypatch.setattr(stats, "SORTED_ROWS", most)
+        monkeypatch.setattr(stats, "CELLS", cells)
+        got = {r["k"]: r for r in stats.percentiles(spark.createDataFrame(rows, "k string, v double"), "v", shares, "k").collect()}
+        for k, n in (("a", 63), ("b", 5), ("c", 20)):
+            v = sorted(x for g, x in rows if g == k)
+            for name, q in shares.items():
+                low, high = v[math.floor((n - 1) * q)], v[math.ceil((n - 1) * q)]
+                part = (n - 1) * q % 1
+                want = low if low == high else (1 - part) * low + part * high
+                assert got[k][name] == want or math.isclose(got[k][name], want, rel_tol=1e-9), (k, name)
+        assert math.isnan(got["d"]["mid"])
+
+
 def test_similarity_and_rigid(spark):
     src = points(50, 5)
     dst = src @ np.array([[0.0, -2.0, 0], [2.0, 0, 0], [0, 0, 2.0]]).T + [1.0, 2.0, 3.0] + points(50, 6, 0.01)
