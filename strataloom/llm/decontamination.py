@@ -81,7 +81,7 @@ def weighted_jaccard(a: Counter, b: Counter, weight) -> float:
 
 @dataclass
 class Item:
-    """An item's distinct shingles, sorted, how often it has each, their weights, and their sum."""
+    """An item's distinct shingles, sorted, how often it has each, their weights, and their sum; ``also``: more ids of its text."""
 
     id: int
     n_words: int
@@ -89,12 +89,13 @@ class Item:
     count: np.ndarray
     weight: np.ndarray
     total: float
+    also: tuple[int, ...] = ()
 
     @classmethod
-    def of(cls, id_, n_words: int, bag: dict[int, int], weights: dict[int, float]) -> "Item":
+    def of(cls, id_, n_words: int, bag: dict[int, int], weights: dict[int, float], also: tuple[int, ...] = ()) -> "Item":
         known = sorted(bag)
         count, weight = np.array([bag[s] for s in known]), np.array([weights.get(s, 1.0) for s in known])
-        return cls(id_, n_words, np.array(known, np.uint64), count, weight, float((count * weight).sum()))
+        return cls(id_, n_words, np.array(known, np.uint64), count, weight, float((count * weight).sum()), also)
 
     def similarity(self, window: np.ndarray, weight: np.ndarray) -> float:
         """Weighted Jaccard similarity with a window of shingles of these weights."""
@@ -185,29 +186,34 @@ class Index:
         return hit, np.where(hit, self.weight[at], 1.0)
 
 
-def match(values: np.ndarray, first: np.ndarray, n_words: np.ndarray, index: Index, similarity: float) -> list[tuple]:
+def match(values: np.ndarray, first: np.ndarray, n_words: np.ndarray, index: Index, similarity: float, k: int = SHINGLE) -> list[tuple]:
     """(document, item, first word, words, similarity, distance) of the best window of each item that a document leaks.
 
-    Document d has n_words[d] words and the shingles values[first[d]:first[d+1]].
+    Document d has n_words[d] words and the shingles values[first[d]:first[d+1]],
+    of k words each: SHINGLE for items of as many and more words, or else the
+    words of an item, which is one shingle then.
     """
+    lengths = {n: held for n, held in index.lengths.items() if min(n, SHINGLE) == k}
+    if not lengths:
+        return []
     hit, weight = index.weigh(values)
     mass = np.concatenate([[0.0], np.cumsum(np.where(hit, weight, 0.0))])
-    least = similarity * min((low for _, _, low in index.lengths.values()), default=np.inf) - 1e-9
+    least = similarity * min(low for _, _, low in lengths.values()) - 1e-9
     alive = np.flatnonzero((mass[first[1:]] - mass[first[:-1]] >= least) & (first[1:] > first[:-1]))
     if not len(alive):
         return []
     doc = np.repeat(alive, np.diff(first)[alive])
     place = np.concatenate([np.arange(first[d], first[d + 1]) for d in alive.tolist()])
-    longest = max(index.lengths)
+    longest = max(lengths)
     best: dict[tuple[int, int], tuple] = {}
     for lo in range(0, len(place), PIECE):
         start, of = place[lo : lo + PIECE], doc[lo : lo + PIECE]
         upto = min(len(place), lo + PIECE + longest)
         total = sums(values[place[lo:upto]], weight[place[lo:upto]])
         room = first[of + 1] - start  # shingles from here to the end of the document
-        for n, (at, blocks, low) in index.lengths.items():
+        for n, (at, blocks, low) in lengths.items():
             span = np.minimum(n, n_words[of])
-            wide = np.maximum(1, span - SHINGLE + 1)
+            wide = np.maximum(1, span - k + 1)
             fits = np.flatnonzero(wide <= room)
             heavy = mass[start[fits] + wide[fits]] - mass[start[fits]] >= similarity * low - 1e-9
             rows = fits[heavy]
@@ -217,27 +223,29 @@ def match(values: np.ndarray, first: np.ndarray, n_words: np.ndarray, index: Ind
                     s, e = int(start[some[w]]), int(start[some[w]] + wide[some[w]])
                     item = index.items[int(at[i])]
                     got = item.similarity(values[s:e], weight[s:e])
-                    key = (int(of[some[w]]), int(at[i]))
-                    if got >= similarity - 1e-9 and (key not in best or got > best[key][4] + 1e-12):
-                        best[key] = (key[0], item.id, s - int(first[key[0]]), int(span[some[w]]), got, distance)
+                    d = int(of[some[w]])
+                    for key in ((d, id_) for id_ in (item.id, *item.also)) if got >= similarity - 1e-9 else ():
+                        if key not in best or got > best[key][4] + 1e-12:
+                            best[key] = (*key, s - int(first[d]), int(span[some[w]]), got, distance)
     return [best[k] for k in sorted(best)]
 
 
-def _search(index: Callable[[], Index], similarity: float):
+def _search(index: Callable[[], Index], similarity: float, short_items: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = index()
-        short = any(n < SHINGLE for n in known.lengths)
+        widths = sorted({min(n, SHINGLE) for n in known.lengths})
         for batch in batches:
             rows = []
             ids = batch.column("doc_id").to_pylist()
             for lo, hi, words in tokens.slices(batch.column("text"), True):
                 hashes, n = words.hashes(), words.counts()
-                values, at = tokens.windows(hashes, words.first, SHINGLE)
-                first = np.searchsorted(at, words.first)
-                rows += [(ids[lo + d], *m) for d, *m in match(values, first, n, known, similarity)]
-                for d in np.flatnonzero((n < SHINGLE) & (n > 0)).tolist() if short else ():
-                    own = shingles(hashes[words.first[d] : words.first[d + 1]])
-                    rows += [(ids[lo + d], *m[1:]) for m in match(own, np.array([0, len(own)]), n[d : d + 1], known, similarity)]
+                for k in widths:
+                    values, at = tokens.windows(hashes, words.first, k)
+                    if k < SHINGLE and not short_items:
+                        whole = np.repeat(n == k, n)[at]
+                        values, at = values[whole], at[whole]
+                    first = np.searchsorted(at, words.first)
+                    rows += [(ids[lo + d], *m) for d, *m in match(values, first, n, known, similarity, k)]
             columns = list(zip(*rows)) if rows else [[]] * 6
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int32()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["doc_id", "item_id", "first_word", "n_words", "similarity", "distance"])
@@ -249,45 +257,49 @@ LEAKS = "doc_id long, item_id long, first_word long, n_words long, similarity do
 
 
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Items (item_id, text) -> their shingles: item_id, n_words, size of the text, shingle, count."""
+    """Items (item_id, name, text) -> their shingles: item_id, name, n_words, size of the text, shingle, count."""
     for batch in batches:
         out = []
-        for id_, text in zip(batch.column("item_id").to_pylist(), batch.column("text").to_pylist()):
+        for id_, name, text in zip(*(batch.column(c).to_pylist() for c in ("item_id", "name", "text"))):
             data = text.encode()
             got = tokens.scan(np.frombuffer(data, np.uint8), np.array([0, len(data)]), True)
             value, count = np.unique(shingles(got.hashes()), return_counts=True)
-            out += [(id_, len(got.start), len(data), v, c) for v, c in zip(value.view(np.int64).tolist(), count.tolist())]
-        columns = list(zip(*out)) if out else [[]] * 5
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["item_id", "n_words", "size", "shingle", "count"])
+            out += [(id_, name, len(got.start), len(data), v, c) for v, c in zip(value.view(np.int64).tolist(), count.tolist())]
+        columns = list(zip(*out)) if out else [[]] * 6
+        kinds = [pa.int64(), pa.string(), *[pa.int64()] * 4]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["item_id", "name", "n_words", "size", "shingle", "count"])
 
 
 def _texts(benchmark: DataFrame) -> DataFrame:
-    """Distinct texts, each under the smallest item_id that has it."""
-    return benchmark.filter(F.col("text").isNotNull()).groupBy("text").agg(F.min(F.col("item_id").cast("long")).alias("item_id"))
+    """Distinct texts with the ids that have them, the smallest first, and a digest as their name."""
+    ids = F.sort_array(F.collect_set(F.col("item_id").cast("long")))
+    return benchmark.filter(F.col("text").isNotNull() & F.col("item_id").isNotNull()).groupBy("text").agg(ids.alias("ids")).withColumn("name", F.sha2("text", 256))
 
 
-def blocks_of(benchmark: DataFrame) -> list[Index]:
-    """Indexes over all items, each over at most INDEX_BYTES of text (or one item).
+def blocks_of(benchmark: DataFrame, every_id: bool = False) -> list[Index]:
+    """Indexes over all items, each over at most INDEX_BYTES of text (or the texts of one item_id).
 
     Shingles weigh by how few items of the whole benchmark have them, so what is
     found does not depend on the cut.  Items without a word find nothing; equal
-    texts are one item, named by the smallest item_id.
+    texts are one item, named by the smallest item_id or with ``every_id`` by all;
+    different texts are items of their own, also under one item_id.
     """
     ship(benchmark.sparkSession)
-    texts = _texts(benchmark).filter(F.col("item_id").isNotNull())
-    bags = durable(texts.select("item_id", "text").mapInArrow(_bags, "item_id long, n_words long, size long, shingle long, count long"), "bags")
-    n = bags.select("item_id").distinct().count()
+    texts = _texts(benchmark).withColumn("item_id", F.col("ids")[0])
+    bags = durable(texts.select("item_id", "name", "text").mapInArrow(_bags, "item_id long, name string, n_words long, size long, shingle long, count long"), "bags")
+    n = bags.select("name").distinct().count()
     frequency = bags.groupBy("shingle").agg(F.count("*").alias("items"))
     weight = F.log1p(F.lit(n) / F.col("items")) / F.log1p(F.lit(float(n)))
-    rows = bags.join(frequency, "shingle").groupBy("item_id", "n_words", "size").agg(F.sort_array(F.collect_list(F.struct("shingle", "count", weight.alias("weight")))).alias("bag"))
+    rows = bags.join(frequency, "shingle").groupBy("item_id", "name", "n_words", "size").agg(F.sort_array(F.collect_list(F.struct("shingle", "count", weight.alias("weight")))).alias("bag"))
+    rows = rows.join(texts.select("name", "ids"), "name")
     held, size, out = [], 0, []
-    for r in rows.orderBy("item_id").toLocalIterator(prefetchPartitions=True):
-        bag = {x["shingle"] & (1 << 64) - 1: x for x in r["bag"]}
-        held.append(Item.of(r["item_id"], r["n_words"], {s: x["count"] for s, x in bag.items()}, {s: x["weight"] for s, x in bag.items()}))
-        size += r["size"]
-        if size >= INDEX_BYTES:
+    for r in rows.orderBy("item_id", "name").toLocalIterator(prefetchPartitions=True):
+        if size >= INDEX_BYTES and r["item_id"] != held[-1].id:
             out.append(Index.build(held))
             held, size = [], 0
+        bag = {x["shingle"] & (1 << 64) - 1: x for x in r["bag"]}
+        held.append(Item.of(r["item_id"], r["n_words"], {s: x["count"] for s, x in bag.items()}, {s: x["weight"] for s, x in bag.items()}, tuple(r["ids"][1:]) if every_id else ()))
+        size += r["size"]
     if held:
         out.append(Index.build(held))
     return out
@@ -298,47 +310,42 @@ def _sent(spark, index: Index) -> Callable[[], Index]:
     return lambda: shared.value
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, every_id: bool = False) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, every_id: bool = False, short_items: bool = False) -> DataFrame:
     """One row per document and benchmark item it leaks: the best window.
 
     docs has doc_id and text, benchmark item_id and text.  Words are compared in
     lower case (A-Z).  Null texts and items, and items without an item_id, leak
     nothing; items with equal texts are reported as the one of smallest item_id,
-    or each with ``every_id``; a repeated row of docs gives its rows again; a null doc_id stays null; empty tables give no rows;
-    other columns are not used.  An item of fewer than SHINGLE words is one
-    shingle and is only found in texts of as few words.  The benchmark is a
-    stated set of queries: it is broadcast in blocks of bounded size, and every
-    block meets all documents.
+    or each with ``every_id``; different texts of one item_id are all looked for,
+    and the best window of any is reported (of each block of the benchmark, should
+    they lie in two); a repeated row of docs gives its rows again; a null doc_id
+    stays null; empty tables give no rows; other columns are not used.  An item of
+    fewer than SHINGLE words is one shingle: it is found in texts that are these
+    words, and with ``short_items`` in all that have them in a row.  The benchmark
+    is a stated set of queries: it is broadcast in blocks of bounded size, and
+    every block meets all documents.
     """
     spark = docs.sparkSession
     ship(spark)
     plain = docs.select(F.col("doc_id").cast("long"), "text")
     found = None
-    for index in blocks_of(benchmark):
-        part = plain.mapInArrow(_search(_sent(spark, index), similarity), LEAKS)
+    for index in blocks_of(benchmark, every_id):
+        part = plain.mapInArrow(_search(_sent(spark, index), similarity, short_items), LEAKS)
         found = part if found is None else found.unionByName(part)
-    if found is None:
-        return spark.createDataFrame([], LEAKS)
-    if not every_id:
-        return found
-    known = benchmark.filter(F.col("item_id").isNotNull()).select(F.col("item_id").cast("long").alias("other"), "text").distinct()
-    twins = durable(known.join(_texts(benchmark), "text").filter("other <> item_id").select("item_id", "other"), "twins")
-    if twins.isEmpty():
-        return found
-    return found.unionByName(found.join(twins, "item_id").withColumn("item_id", F.col("other")).select(*found.columns))
-
-
-def clean(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    return spark.createDataFrame([], LEAKS) if found is None else found
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, short_items: bool = False) -> DataFrame:
     """docs without the documents that leak an item, in one pass over the texts; all columns stay."""
     ship(docs.sparkSession)
     kept = docs
     for index in blocks_of(benchmark):
-        kept = kept.mapInArrow(_drop(_sent(docs.sparkSession, index), similarity), docs.schema)
+        kept = kept.mapInArrow(_drop(_sent(docs.sparkSession, index), similarity, short_items), docs.schema)
     return kept
 
 
-def _drop(index: Callable[[], Index], similarity: float):
-    search = _search(index, similarity)
+def _drop(index: Callable[[], Index], similarity: float, short_items: bool):
+    search = _search(index, similarity, short_items)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -178,9 +178,10 @@ def learn(rows: list[dict], names: list[str], min_precision: float = MIN_PRECISI
 def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> list[list[Test]]:
     """Learn rejection rules from at most ``rows`` labelled documents that pass the base limits.
 
-    A document with several labels is good if one says so; null labels and
-    labels without a document are left out; without both kinds of rows there
-    are no rules.
+    A document with several labels is good if one says so, and of several rows
+    with one doc_id the least text is taken, so that copies of rows change
+    nothing; null labels and labels without a document are left out; without both
+    kinds of rows there are no rules.
     """
     taken = (
         labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull())
@@ -193,13 +194,13 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> list[list[T
     columns = features(s)
     with scope() as end:
         # written before they are measured, or the statistics would be pushed below the join to all documents
-        few = durable(docs.select("doc_id", "text").join(F.broadcast(taken), "doc_id"), "fit")
+        few = docs.select("doc_id", "text").join(F.broadcast(taken), "doc_id").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.min("text").alias("text"))
+        few = durable(few, "fit")  # at most ``rows``
         found = (
             few.select("doc_id", "quality", statistics(F.col("text")).alias("s"))
             .filter(~base_failed(s))
             .select((F.col("quality") == 0).cast("int").alias("bad"), (F.pmod(F.xxhash64("doc_id"), F.lit(3)) == 0).alias("apart"), *[c.alias(n) for n, c in columns.items()])
             .orderBy("bad", *columns)
-            .limit(rows)
             .collect()
         )
         end()

@@ -170,8 +170,9 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, labels: DataFrame, column: str = "toxic", rows: int = FIT_ROWS) -> Machine:
     """Fit on at most ``rows`` labelled documents.
 
-    A document with several labels has the largest; null labels, null doc_ids
-    and labels without a document are left out.
+    A document with several labels has the largest, and of several rows with one
+    doc_id the least text is taken, so that copies of rows change nothing; null
+    labels, null doc_ids and labels without a document are left out.
     """
     ship(docs.sparkSession)
     taken = (
@@ -181,7 +182,7 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "toxic", rows: int =
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(rows)
     )
-    found = docs.select("doc_id", "text").join(F.broadcast(taken), "doc_id").select("doc_id", "label", "text")
+    found = docs.select("doc_id", "text").join(F.broadcast(taken), "doc_id").groupBy("doc_id").agg(F.max("label").alias("label"), F.min("text").alias("text"))
     cells = durable(found.mapInArrow(_rows, "label int, cells binary"), "cells")
     chosen = select(cells)
 
@@ -190,7 +191,7 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "toxic", rows: int =
             held = [np.intersect1d(np.frombuffer(c.as_buffer(), "<i4"), chosen).astype("<i4").tobytes() for c in batch.column("cells")]
             yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(held, pa.binary())], ["label", "cells"])
 
-    got = cells.mapInArrow(few, cells.schema).orderBy("label", "cells").limit(rows).collect()
+    got = cells.mapInArrow(few, cells.schema).orderBy("label", "cells").collect()  # at most ``rows``
     return fit([np.frombuffer(r["cells"], "<i4").astype(np.int64) for r in got], np.array([r["label"] for r in got], float), chosen)
 
 

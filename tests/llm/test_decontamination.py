@@ -132,3 +132,23 @@ def test_recall_at_the_limit(spark):
     got = {(r["doc_id"], r["item_id"]) for r in D.leaks(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()}
     assert got <= want.keys() and len(border) > 100
     assert len(got & border) >= 0.95 * len(border) and len(got) >= 0.99 * len(want)
+
+
+def test_repeated_ids_and_short_items(spark):
+    """Different texts under one item_id are all found, and items of few words wherever a document has them."""
+    items = [(1, "a b c d e f g h"), (1, "i j k l m n o p q"), (3, "r s t u v w x y z"), (4, "What is"), (5, "two"), (6, "one of four words"), (6, "a b c d e f g h")]
+    docs = [(1, "x a b c d e f g h y"), (2, "before i j k l m n o p q"), (3, "r s t u v w x y z"), (10, "so what IS two plus"), (11, "here is one of four words and more"), (12, "what was one of four"), (13, "two")]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    found = lambda **more: sorted((r["doc_id"], r["item_id"]) for r in D.leaks(frame(spark, docs), benchmark, **more).collect())
+    assert found() == [(1, 1), (2, 1), (3, 3), (13, 5)]
+    assert found(every_id=True) == [(1, 1), (1, 6), (2, 1), (3, 3), (13, 5)]
+    assert found(short_items=True) == [(1, 1), (2, 1), (3, 3), (10, 4), (10, 5), (11, 6), (13, 5)]
+    kept = D.clean(frame(spark, docs), benchmark, short_items=True).collect()
+    assert [r["doc_id"] for r in kept] == [12]
+    # by brute force over all windows of an item's length
+    rng = random.Random(3)
+    docs = [(d, " ".join(rng.choice("abcdefg") for _ in range(rng.randrange(12)))) for d in range(200)]
+    items = [(i, " ".join(rng.choice("abcdefg") for _ in range(1 + i % 4))) for i in range(12)]
+    want = {(d, i) for d, t in docs for i, x in items if f" {x} " in f" {t} "}
+    got = D.leaks(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string"), every_id=True, short_items=True)
+    assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == want and len(want) > 100

@@ -180,3 +180,15 @@ def test_language_scores_gram_by_gram():
         z = [(sum(v / size * m.weight[c, j] for c, v in value.items()) + m.weight[language.CELLS, j]) / m.temperature for j in range(3)]
         p = [math.exp(x - max(z)) / sum(math.exp(y - max(z)) for y in z) for x in z]
         assert best[i] == m.langs[p.index(max(p))] and abs(score[i] - max(p)) < 1e-9
+
+
+def test_copies_of_rows_change_no_fit(spark):
+    """A limit of the fit counts documents: ten copies of each row give the model of the plain table."""
+    from strataloom.llm import quality
+    from strataloom.sources.tables import table
+
+    docs, labels = (table(spark, SMALL, t) for t in ("documents", "labels"))
+    ten = docs.crossJoin(spark.range(10).drop("id"))
+    plain, copied = (toxicity.train(d, labels, rows=50) for d in (docs, ten))
+    assert np.allclose(plain.weight, copied.weight) and np.allclose(plain.factor, copied.factor) and plain.bias == copied.bias and np.abs(plain.weight).max() > 0
+    assert quality.fit(docs, labels, rows=60) == quality.fit(ten, labels, rows=60)
