@@ -4,7 +4,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 
-from helpers import awkward, frame
+from helpers import SMALL, awkward, frame
 from strataloom.llm import language, queries, toxicity
 
 SF = "/root/testdata/sf0.1"
