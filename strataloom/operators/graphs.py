@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strataloom.operators import spatial
 from strataloom.session import discard, durable
 
 
@@ -31,6 +32,34 @@ def connected(nodes: DataFrame, edges: DataFrame, key: str) -> DataFrame:
         before, state = ahead, ahead.select("node", F.col("new").alias("low"))
 
 
+def welded(points: DataFrame, key: str, owner: str, axes: list[str], radius: float) -> DataFrame:
+    """(key, component, n, axes): points of different owners within ``radius`` are linked, and a group moves to its mean.
+
+    A group is what links reach; its component is its smallest key.  Cells are so
+    small that all points of one are within the radius: where one has several
+    owners its points are a group by a star, without their pairs.  Points with a
+    null in axes or owner stay where they are, alone.
+    """
+    small = [F.floor(F.col(a) / (radius * 0.999 / len(axes) ** 0.5)).cast("long").alias(f"__c{i}") for i, a in enumerate(axes)]
+    names = [f"__c{i}" for i in range(len(axes))]
+    whole = durable(points.dropna(subset=[owner, *axes]).select(key, owner, *axes, *small), "points")
+    mixed = whole.groupBy(*names).agg(F.min(key).alias("low"), F.min(owner).alias("o"), F.max(owner).alias("p")).filter("o <> p").select(*names, "low")
+    star = whole.join(mixed, names).select(F.col(key).alias("a"), F.col("low").alias("b")).filter("a <> b")
+    # pairs across cells; inside one of several owners the star says it all
+    side = lambda tag: whole.select(F.col(key).alias(f"{tag}_key"), F.col(owner).alias(f"{tag}_owner"), F.struct(*names).alias(f"{tag}_cell"), *axes)
+    a, b = side("a"), side("b")
+    rows = lambda df, tag: df.select(F.struct(f"{tag}_key", f"{tag}_owner", f"{tag}_cell").alias(tag), *axes)
+    near = spatial.radius_pairs(rows(a, "a"), rows(b, "b"), "a", "b", axes, radius).filter("a.a_owner <> b.b_owner and a.a_key < b.b_key and a.a_cell <> b.b_cell")
+    links = star.unionByName(near.select(F.col("a.a_key").alias("a"), F.col("b.b_key").alias("b")))
+    links = durable(links, "links")
+    nodes = links.select(F.col("a").alias(key)).union(links.select("b")).distinct()
+    group = connected(nodes, links, key)
+    middle = group.join(whole.select(key, *axes), key).groupBy("component").agg(F.count("*").alias("n"), *[F.avg(x).alias(f"__m{i}") for i, x in enumerate(axes)])
+    placed = points.select(key, *axes).join(group.join(middle, "component"), key, "left")
+    moved = [F.coalesce(F.col(f"__m{i}"), F.col(x)).alias(x) for i, x in enumerate(axes)]
+    return placed.select(key, F.coalesce("component", key).alias("component"), F.coalesce("n", F.lit(1)).alias("n"), *moved)
+
+
 def ancestors(rows: DataFrame, key: str, parent: str, levels: int) -> DataFrame:
     """rows with ``path``: keys from the row up to its ``levels``-th ancestor; a row met again ends the path."""
     up = rows.select(F.col(key).alias("__k"), F.col(parent).alias("__p"))

@@ -7,6 +7,7 @@ import itertools
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strataloom.operators import nearest as blocked
 from strataloom.session import durable
 
 
@@ -73,33 +74,14 @@ def radius_pairs(a: DataFrame, b: DataFrame, key_a: str, key_b: str, axes: list[
 def nearest(points: DataFrame, refs: DataFrame, key: str, ref: str, axes: list[str], radius: float | None = None) -> DataFrame:
     """The nearest row of refs for each point, or only one within ``radius``; the smaller ref on ties.
 
-    Without a radius, points look into cells around them whose size doubles until
-    what they found is proven nearest: no farther than a cell is wide.  The first
-    size gives a cell about one ref.  Points and refs with a null or not a number
-    are left out; without refs there are no rows.
+    Without a radius, blocks of equal count are searched (operators/nearest.py).
+    Points and refs with a null or a number that is not finite are left out;
+    without refs there are no rows.
     """
-    if radius is not None:
-        near = radius_pairs(points, refs, key, ref, axes, radius)
-        return near.groupBy(key).agg(F.min(F.struct("distance", ref)).alias("m")).select(key, F.col(f"m.{ref}").alias(ref), F.col("m.distance").alias("distance"))
-    whole = lambda rows: rows.dropna(subset=axes).filter(~sum((F.isnan(F.col(a)).cast("int") for a in axes), F.lit(0)).cast("boolean"))
-    refs, points = whole(refs), whole(points).select(key, *axes)
-    box = lambda rows: rows.agg(F.count("*"), *[f(a) for a in axes for f in (F.min, F.max)]).first()
-    held, asked = box(refs), box(points)
-    if not held[0] or not asked[0]:
-        return points.join(refs.select(ref).limit(0), F.lit(False)).select(key, ref, F.lit(0.0).alias("distance"))
-    sides = [max(held[2 + 2 * i], asked[2 + 2 * i]) - min(held[1 + 2 * i], asked[1 + 2 * i]) for i in range(len(axes))]
-    most = sum(x * x for x in sides) ** 0.5 * (1 + 1e-9) + 1e-12  # no two points are farther apart
-    size = max(most / max(held[0], 1) ** (1 / len(axes)), most * 2.0**-40)
-    rest, out = points, None
-    while True:
-        found = durable(nearest(rest, refs, key, ref, axes, min(size, most)), "nearest")
-        out = found if out is None else out.unionByName(found)
-        if size >= most:
-            return out
-        rest = durable(rest.join(found.select(key), key, "left_anti"), "rest")
-        if rest.isEmpty():
-            return out
-        size *= 2
+    if radius is None:
+        return blocked.nearest(points, refs, key, ref, axes)
+    near = radius_pairs(points, refs, key, ref, axes, radius)
+    return near.groupBy(key).agg(F.min(F.struct("distance", ref)).alias("m")).select(key, F.col(f"m.{ref}").alias(ref), F.col("m.distance").alias("distance"))
 
 
 def affine(point: list[Column], matrix: list[list[float]]) -> list[Column]:

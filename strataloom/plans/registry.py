@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-PLANS = ("aggregates", "gates", "geometry", "integrity", "joins", "linkage", "ordered", "overrides", "records", "search", "spatial", "state", "texts")
+PLANS = ("aggregates", "gates", "geometry", "integrity", "joins", "linkage", "ordered", "overrides", "records", "resampling", "search", "spatial", "state", "texts", "writing")
 
 
 @dataclass(frozen=True)
