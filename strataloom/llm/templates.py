@@ -156,11 +156,19 @@ def likely(templates: DataFrame) -> DataFrame:
     return templates.join(keys.join(shared, "key").select("hash").union(wild).distinct(), "hash", "left_semi")
 
 
-def parse(docs: DataFrame, counted: DataFrame, min_docs: int) -> DataFrame:
+def _least(min_docs: int, long_lines: tuple[int, int] | None) -> Column:
+    """Documents from which on a template of n tokens recurs."""
+    if not long_lines:
+        return F.lit(min_docs)
+    tokens, docs = long_lines
+    return F.when(F.col("n") >= tokens, F.lit(min(docs, min_docs))).otherwise(F.lit(min_docs))
+
+
+def parse(docs: DataFrame, counted: DataFrame, least: Column) -> DataFrame:
     """(hash, grouped) of templates that share a group with others; each leaf is parsed as a whole."""
     open_ = counted.filter(F.col("n") >= LEAST_ALIKE)
-    leaves = open_.groupBy("leaf").agg(F.sum("docs").alias("all"), F.count("*").alias("templates"))
-    busy = leaves.filter((F.col("all") >= min_docs) & (F.col("templates") > 1))
+    leaves = open_.groupBy("leaf", "n").agg(F.sum("docs").alias("all"), F.count("*").alias("templates"))  # a leaf has one n
+    busy = leaves.filter((F.col("all") >= least) & (F.col("templates") > 1)).drop("n")
     taken = durable(open_.join(busy, "leaf").select("leaf", (F.col("templates") > LEAF_TEMPLATES).alias("large"), "hash", "docs", "at.doc_id", "at.text_hash", "at.line"), "busy")
     # the wording of a template comes from the first line that has it; few lines are needed as a rule,
     # and then their documents are found by a broadcast of checked size
@@ -178,20 +186,22 @@ def parse(docs: DataFrame, counted: DataFrame, min_docs: int) -> DataFrame:
     return rows.drop("large").groupBy("leaf").applyInArrow(_node, "hash long, grouped long")
 
 
-def recurring(docs: DataFrame, min_docs: int = MIN_DOCS) -> tuple[DataFrame, DataFrame]:
+def recurring(docs: DataFrame, min_docs: int = MIN_DOCS, long_lines: tuple[int, int] | None = None) -> tuple[DataFrame, DataFrame]:
     """Lines to drop (doc_id, text_hash, at: their numbers), and the groups behind them (grouped, docs, first)."""
     ship(docs.sparkSession)
+    least = _least(min_docs, long_lines)
     thin = durable(lines(docs).select("doc_id", "text_hash", "line", "leaf", "n", "hash"), "lines")
     # lines, and not yet documents, are counted here: an upper bound that decides what is looked at
     counted = durable(thin.groupBy("hash", "leaf", "n").agg(F.count("*").alias("docs"), F.min(F.struct("doc_id", "text_hash", "line")).alias("at")), "templates")
-    joined = durable(parse(docs, counted, min_docs), "groups")
+    joined = durable(parse(docs, counted, least), "groups")
     # templates that can matter: those often enough by themselves, and those that share a group
-    often = counted.filter(F.col("docs") >= min_docs).select("hash")
+    often = counted.filter(F.col("docs") >= least).select("hash")
     named = joined.select("hash").union(often).distinct()
     named = durable(named.join(joined, "hash", "left").select("hash", F.coalesce("grouped", "hash").alias("grouped")), "named")
-    placed = durable(thin.join(named, "hash").select("doc_id", "text_hash", "line", "grouped"), "placed")
-    groups = placed.groupBy("grouped", "doc_id").agg(F.lit(1).alias("one")).groupBy("grouped").agg(F.count("*").alias("docs"), F.min("doc_id").alias("first")).filter(F.col("docs") >= min_docs)
-    groups = durable(groups, "recurring")
+    placed = durable(thin.join(named, "hash").select("doc_id", "text_hash", "line", "n", "grouped"), "placed")
+    once = placed.groupBy("grouped", "doc_id").agg(F.max("n").alias("n"))  # the lines of a group are of one length
+    groups = once.groupBy("grouped").agg(F.max("n").alias("n"), F.count("*").alias("docs"), F.min("doc_id").alias("first")).filter(F.col("docs") >= least)
+    groups = durable(groups.drop("n"), "recurring")
     discard(thin, counted, joined, named)
     drop = (
         placed.join(groups, "grouped")
@@ -202,7 +212,7 @@ def recurring(docs: DataFrame, min_docs: int = MIN_DOCS) -> tuple[DataFrame, Dat
     return drop, groups
 
 
-def strip(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+def strip(docs: DataFrame, min_docs: int = MIN_DOCS, long_lines: tuple[int, int] | None = None) -> DataFrame:
     """docs with recurring lines taken out of text, and three columns more.
 
     ``line_count``, lines of the text; ``lines_dropped``; ``had_words``, whether
@@ -211,10 +221,13 @@ def strip(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     lose the same lines; rows without a doc_id count as one document, which
     comes after all others and is never the one that keeps a line unless it is
     the only one; an empty table gives no rows; other columns stay as they are.
+
+    ``long_lines``, as (tokens, documents): lines of so many tokens recur from so
+    many documents on, since a long line in two documents is no coincidence.
     """
     id_, hash_, gone_id, gone_hash, at = (fresh(docs, x) for x in ("line_id", "line_hash", "gone_id", "gone_hash", "gone_at"))
     with scope() as end:
-        drop = durable(recurring(docs, min_docs)[0], "drop")
+        drop = durable(recurring(docs, min_docs, long_lines)[0], "drop")
         end(drop)
     # texts only move where the lines to drop are too many to be sent to them
     size = drop.agg(F.count("*") + F.coalesce(F.sum(F.size("at")), F.lit(0))).first()[0]

@@ -120,3 +120,22 @@ def test_awkward(spark):
     assert T.strip(frame(spark, [])).count() == 0
     nulls = frame(spark, [(None, "a line that is shared")] * 3 + [(i, "a line that is shared") for i in range(12)])
     assert sorted(r["lines_dropped"] for r in T.strip(nulls).collect()) == [0] + [1] * 14
+
+
+def test_long_lines_recur_from_fewer_documents(spark):
+    """With a threshold by length, a line of 60 words goes from 2 documents on, also where a field of it varies."""
+    short = "a short line that some share"
+    docs = []
+    for copies in (2, 5, 9):
+        for i in range(copies):
+            words = [f"w{'abcdefghij'[copies]}{'abcdefghij'[n % 10]}{'klmnop'[n // 10]}" for n in range(60)]
+            words[30] = f"field{'pqrstuvwx'[i]}" if copies == 5 else words[30]
+            docs.append((copies * 100 + i, " ".join(words) + "\n" + short + "\n" + f"own line {'xyz'[copies // 4]}{'z' * i}"))
+    docs = [d if i % 2 else (d[0], d[1].replace(short, "one line")) for i, d in enumerate(docs)]
+    frame_ = frame(spark, docs)
+    kept = lambda **more: {r["doc_id"]: (r["lines_dropped"], len(r["text"].split("\n"))) for r in T.strip(frame_, **more).collect()}
+    assert all(v == (0, 3) for v in kept().values())
+    long = kept(long_lines=(20, 2))
+    # the first document of each passage keeps it
+    assert long == {d: (0, 3) if d % 100 == 0 else (1, 2) for d, _ in docs}
+    assert all(v == (0, 3) for v in kept(long_lines=(61, 2)).values())
