@@ -5,6 +5,7 @@ from __future__ import annotations
 import gzip
 import itertools
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -17,9 +18,25 @@ HEADER_BYTES, DIM, DATATYPE, PIXDIM, OFFSET, SLOPE, QFORM, QUATERNION, SROWS, MA
 BATCH = 1 << 18
 
 
-def decoded(content: bytes, affine: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(voxels by i, j, k, matrix from voxel to world) of a file; ``affine`` stands in for a broken one of the header."""
-    raw = gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content
+@dataclass(frozen=True)
+class Header:
+    """What the first bytes of a file say: cells along each axis, their type and first byte, scaling, matrix to the world."""
+
+    dims: tuple[int, int, int]
+    kind: np.dtype
+    start: int
+    slope: float
+    shift: float
+    affine: np.ndarray
+
+    def scaled(self, stored: np.ndarray) -> np.ndarray:
+        if self.slope and np.isfinite(self.slope) and (self.slope, self.shift) != (1.0, 0.0):
+            return stored * self.slope + (self.shift if np.isfinite(self.shift) else 0.0)
+        return stored
+
+
+def header(raw: bytes, affine: np.ndarray | None = None) -> Header:
+    """The header in the first HEADER_BYTES of a file; ``affine`` stands in for a broken one."""
     if len(raw) < HEADER_BYTES or raw[MAGIC : MAGIC + 3] != b"n+1":
         raise ValueError("not a NIfTI-1 file")
     order = "<" if int.from_bytes(raw[:4], "little") == HEADER_BYTES else ">"
@@ -29,14 +46,20 @@ def decoded(content: bytes, affine: np.ndarray | None = None) -> tuple[np.ndarra
     code = int(field(DATATYPE, "i2")[0])
     if code not in TYPES or any(x != 1 for x in dims[3:]):
         raise ValueError(f"data type {code} of {dims} cells is not a scalar raster")
-    kind, size, start = TYPES[code], int(np.prod(dims[:3])), int(field(OFFSET, "f4")[0])
-    if len(raw) < start + size * np.dtype(kind).itemsize:
-        raise ValueError(f"{len(raw)} bytes are too few for {dims[:3]} cells")
-    voxels = field(start, kind, size).reshape(dims[:3], order="F")
     slope, shift = (float(x) for x in field(SLOPE, "f4", 2))
-    if slope and np.isfinite(slope) and (slope, shift) != (1.0, 0.0):
-        voxels = voxels * slope + (shift if np.isfinite(shift) else 0.0)
-    return voxels, _matrix(field, dims) if affine is None else np.asarray(affine, float)
+    matrix = _matrix(field, dims) if affine is None else np.asarray(affine, float)
+    return Header(tuple(dims[:3]), np.dtype(TYPES[code]).newbyteorder(order), int(field(OFFSET, "f4")[0]), slope, shift, matrix)
+
+
+def decoded(content: bytes, affine: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(voxels by i, j, k, matrix from voxel to world) of a file; ``affine`` stands in for a broken one of the header."""
+    raw = gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content
+    head = header(raw, affine)
+    size = int(np.prod(head.dims))
+    if len(raw) < head.start + size * head.kind.itemsize:
+        raise ValueError(f"{len(raw)} bytes are too few for {list(head.dims)} cells")
+    voxels = np.frombuffer(raw, head.kind, size, head.start).reshape(head.dims, order="F")
+    return head.scaled(voxels), head.affine
 
 
 def _matrix(field, dims: list[int]) -> np.ndarray:
@@ -61,18 +84,23 @@ def _matrix(field, dims: list[int]) -> np.ndarray:
     return out
 
 
-def canonical(voxels: np.ndarray, affine: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The raster with axes swapped and reversed so that they run right, anterior and superior as nearly as can be."""
+def axes_of(affine: np.ndarray) -> tuple[tuple[int, int, int], tuple[bool, bool, bool]]:
+    """The stored axis that runs along each axis of the world, and whether it runs back, as nearly as can be."""
     lengths = np.linalg.norm(affine[:3, :3], axis=0)
     u, _, vt = np.linalg.svd(affine[:3, :3] / np.where(lengths > 0, lengths, 1.0))
     near = u @ vt  # the rotation closest to the matrix
     axes = max(itertools.permutations(range(3)), key=lambda p: sum(abs(near[w, a]) for w, a in enumerate(p)))
+    return axes, tuple(bool(near[w, a] < 0) for w, a in enumerate(axes))
+
+
+def canonical(voxels: np.ndarray, affine: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The raster with axes swapped and reversed so that they run right, anterior and superior as nearly as can be."""
+    axes, back = axes_of(affine)
     out, move = voxels.transpose(axes), np.zeros((4, 4))
     move[3, 3] = 1.0
     for world, axis in enumerate(axes):
-        back = near[world, axis] < 0
-        move[axis, world], move[axis, 3] = (-1.0, voxels.shape[axis] - 1) if back else (1.0, 0.0)
-        if back:
+        move[axis, world], move[axis, 3] = (-1.0, voxels.shape[axis] - 1) if back[world] else (1.0, 0.0)
+        if back[world]:
             out = np.flip(out, world)
     return out, affine @ move
 
