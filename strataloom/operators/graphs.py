@@ -70,3 +70,10 @@ def ancestors(rows: DataFrame, key: str, parent: str, levels: int) -> DataFrame:
         longer = F.when(new, F.array_append("path", F.col("__k"))).otherwise(F.col("path"))
         out = step.withColumns({"path": longer, "__at": F.when(new, F.col("__p"))}).drop("__k", "__p")
     return out.drop("__at")
+
+
+def without_small(sizes: DataFrame, size: str, least: int, share: float, *keys: str) -> DataFrame:
+    """Rows of each key that have ``least`` and ``share`` of the largest; where none has ``least``, the largest."""
+    top = sizes.groupBy(*keys).agg(F.max(size).alias("__most"))
+    enough = F.when(F.col("__most") >= least, F.col(size) >= F.greatest(F.lit(float(least)), share * F.col("__most"))).otherwise(F.col(size) == F.col("__most"))
+    return sizes.join(top, list(keys)).filter(enough).select(*sizes.columns)

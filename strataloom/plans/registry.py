@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-PLANS = ("aggregates", "gates", "geometry", "integrity", "joins", "linkage", "ordered", "overrides", "plugins", "records", "resampling", "search", "spatial", "state", "texts", "writing")
+PLANS = ("aggregates", "gates", "geometry", "integrity", "joins", "linkage", "ordered", "overrides", "plugins", "records", "resampling", "rules", "search", "spatial", "state", "texts", "writing")
 
 
 @dataclass(frozen=True)

@@ -199,3 +199,22 @@ def first_of(rows: DataFrame, key: str) -> DataFrame:
     """The first row of each key: by file, then by line."""
     rest = [c for c in rows.columns if c != key]
     return rows.groupBy(key).agg(F.min_by(F.struct(*rest), F.struct("file", "line")).alias("r")).select(key, *[F.col(f"r.{c}").alias(c) for c in rest])
+
+
+#: Fixed value (inventory rows STR27 and SRC19): the line that opens a page: book, printed page, page of the file.
+PAGE = r"⟦(\w+) p\.([0-9]+) \| pdf ([0-9]+)⟧"
+
+
+def pages(texts: DataFrame, text: str) -> DataFrame:
+    """A row for each page of texts with page marks: the other columns, book, printed, pdf and body.
+
+    A mark stands at the beginning of a line and its page runs to the next one;
+    what comes before the first mark belongs to no page.  A text without marks has
+    none.
+    """
+    marks = F.regexp_extract_all(F.col(text), F.lit(rf"(?m)^{PAGE}$"), F.lit(0))
+    bodies = F.slice(F.split(F.col(text), rf"(?m)^{PAGE}$\n?"), 2, F.greatest(F.size(marks), F.lit(0)))
+    rows = texts.withColumn("__p", F.explode(F.arrays_zip(marks.alias("mark"), bodies.alias("body"))))
+    part = lambda g: F.regexp_extract(F.col("__p.mark"), PAGE, g)
+    rest = [c for c in texts.columns if c != text]
+    return rows.select(*rest, part(1).alias("book"), part(2).cast("int").alias("printed"), part(3).cast("int").alias("pdf"), F.regexp_replace(F.col("__p.body"), r"\n\z", "").alias("body"))
