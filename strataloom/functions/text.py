@@ -56,3 +56,15 @@ def singular(word: Column) -> Column:
         .when(word.rlike("[a-z]{2}[^s]s$"), F.regexp_replace(word, "s$", ""))
         .otherwise(word)
     )
+
+
+def filled(template: Column, values: Column) -> Column:
+    """A template with each {name} replaced by its value in a map, all at once; names without one stay as they are.
+
+    What a value holds is not looked at again, so a value that looks like a name
+    is not filled.
+    """
+    names = F.regexp_extract_all(template, F.lit(r"\{([A-Za-z_]+)\}"), F.lit(1))
+    between = F.split(template, r"\{[A-Za-z_]+\}")
+    told = F.transform(names, lambda n: F.coalesce(F.try_element_at(values, n), F.concat(F.lit("{"), n, F.lit("}"))))
+    return F.array_join(F.zip_with(between, told, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from strataloom.functions import text as T
 from strataloom.operators import graphs
 from strataloom.plans.registry import query
 from strataloom.sources import files
@@ -135,3 +136,21 @@ def kept_components(spark, sf_dir):
     edges = cells.select(F.col("id").alias("a"), "k", around.alias("n")).select("a", "k", "n.*").join(cells.withColumnRenamed("id", "b"), ["i", "j", "k"]).select("a", "b")
     size = graphs.connected(cells.select("id"), edges, "id").groupBy("component").agg(F.count("*").alias("size")).withColumn("k", (F.col("component") % 10).cast("int"))
     return graphs.without_small(size, "size", 5, 0.4, "k").select("k", "component", "size")
+
+
+@query(
+    "STR20",
+    """WITH t AS (SELECT n_nationkey, CASE n_nationkey % 3 WHEN 0 THEN '{name} of ' || n_name || ' owes {balance}' WHEN 1 THEN n_name || ': {place}/{name}/{none}' ELSE n_name END AS template FROM nation),
+    v AS (SELECT s_suppkey, s_nationkey, CASE WHEN s_suppkey % 5 = 0 THEN '{place}' ELSE s_name END AS name, CASE WHEN s_suppkey % 7 > 0 THEN 'r' || s_nationkey % 4 END AS place, CAST(CAST(round(s_acctbal) AS BIGINT) AS VARCHAR) AS balance FROM supplier),
+    k AS (SELECT s_suppkey, template, name, place, balance, regexp_extract_all(template, '\\{([A-Za-z_]+)\\}', 1) AS names, string_split_regex(template, '\\{[A-Za-z_]+\\}') AS parts FROM v JOIN t ON s_nationkey = n_nationkey)
+    SELECT s_suppkey, array_to_string(list_transform(parts, lambda p, i: p || coalesce(CASE names[i] WHEN 'name' THEN name WHEN 'place' THEN coalesce(place, '{place}') WHEN 'balance' THEN balance ELSE '{' || names[i] || '}' END, '')), '') AS text FROM k""",
+)
+def rendered(spark, sf_dir):
+    """Templates from a table filled by name in one pass; a value that looks like a name stays, and so does a name without a value."""
+    n = table(spark, sf_dir, "nation")
+    one, two = F.concat(F.lit("{name} of "), "n_name", F.lit(" owes {balance}")), F.concat("n_name", F.lit(": {place}/{name}/{none}"))
+    templates = n.select(F.col("n_nationkey").alias("s_nationkey"), F.when(F.col("n_nationkey") % 3 == 0, one).when(F.col("n_nationkey") % 3 == 1, two).otherwise(F.col("n_name")).alias("template"))
+    name = F.when(F.col("s_suppkey") % 5 == 0, "{place}").otherwise(F.col("s_name"))
+    place = F.when(F.col("s_suppkey") % 7 > 0, F.concat(F.lit("r"), F.col("s_nationkey") % 4))
+    values = F.create_map(F.lit("name"), name, F.lit("place"), place, F.lit("balance"), F.round("s_acctbal").cast("long").cast("string"))
+    return table(spark, sf_dir, "supplier").join(templates, "s_nationkey").select("s_suppkey", T.filled(F.col("template"), values).alias("text"))

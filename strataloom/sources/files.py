@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strataloom.session import durable
+
 
 def exists(spark: SparkSession, path: str) -> bool:
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -37,7 +39,7 @@ def documents(spark: SparkSession, path: str, schema: str, key: str = "id") -> t
     rules = [F.when(F.col("_corrupt").isNotNull() | F.col(key).isNull(), "unreadable"), F.when(F.col(key) != stem, "key is not the file name")]
     if "kind" in full.names:
         rules.append(F.when(F.col("kind") != folder, "kind is not the folder"))
-    judged = rows.withColumn("_error", F.coalesce(*rules)).persist()
+    judged = durable(rows.withColumn("_error", F.coalesce(*rules)), "documents")  # read by four plans
     twice = judged.filter(F.col("_error").isNull()).groupBy(key).agg(F.count("*").alias("n")).filter("n > 1").select(key)
     good = judged.filter(F.col("_error").isNull()).join(twice, key, "left_anti")
     errors = judged.filter(F.col("_error").isNotNull()).select("_file", F.col("_error").alias("error"))
