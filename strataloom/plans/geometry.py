@@ -467,13 +467,16 @@ def _corner(n: str, shift: str, size: str, brand: str) -> str:
     SELECT mesh, mesh * 10 + shell * 4 AS shell, count(*) AS faces, round(sum(v), 4) AS volume, round(sum(s), 4) AS area, coalesce(any_value(open), 0) = 0 AND count(*) >= 4 AS closed FROM v LEFT JOIN e USING (mesh, shell) GROUP BY mesh, v.shell""",
 )
 def shell_volumes(spark, sf_dir):
-    """Shells of faces that share edges: signed volume about the shell's centre, area, and whether no edge is open."""
+    """Shells of faces that share edges: signed volume about the shell's centre, area, and whether no edge is open.
+
+    Every table grows with the faces, so that no side of a join is broadcast.
+    """
     part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("mesh"), F.col("p_size").cast("double").alias("size"), F.regexp_extract("p_brand", "([0-9]+)", 1).cast("double").alias("brand"))
     face = F.explode(F.array(*[F.struct(F.lit(i).alias("face"), *[F.lit(v).alias(n) for n, v in zip("abc", f)]) for i, f in enumerate(FACES)]))
     faces = part.withColumn("f", face).select("mesh", "size", "brand", "f.*").filter("not (mesh % 7 = 0 and face = 5)").withColumn("id", F.col("mesh") * 10 + F.col("face"))
     edge = F.explode(F.array(*[F.struct(F.least(p, q).alias("u"), F.greatest(p, q).alias("v")) for p, q in (("a", "b"), ("b", "c"), ("a", "c"))]))
     edges = faces.select("mesh", "id", edge.alias("e")).select("mesh", "id", "e.*").groupBy("mesh", "u", "v").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.count("*").alias("n"))
-    groups = graphs.connected(faces.select("id"), edges.filter("n > 1").select("a", "b"), "id").withColumnRenamed("component", "shell")
+    groups = graphs.connected(faces.select("id"), edges.filter("n > 1").select("a", "b"), "id").withColumnRenamed("component", "shell").hint("merge")
     open_ = edges.filter("n = 1").join(groups.withColumnRenamed("id", "a"), "a").groupBy("shell").agg(F.count("*").alias("open"))
 
     def corner(n: str) -> list[Column]:
@@ -483,13 +486,13 @@ def shell_volumes(spark, sf_dir):
 
     rows = faces.select("id", "mesh", *[c.alias(f"{n}{x}") for n in "abc" for x, c in zip(AXES, corner(n))]).join(groups, "id")
     centre = rows.groupBy("shell").agg(*[(F.avg(sum(F.col(f"{n}{x}") for n in "abc")) / 3).alias(f"o{x}") for x in AXES])
-    rows = rows.join(centre, "shell")
+    rows = rows.join(centre.hint("merge"), "shell")
     less = lambda n, m: [F.col(f"{n}{x}") - F.col(f"{m}{x}") for x in AXES]
     cross = lambda u, v: [u[1] * v[2] - u[2] * v[1], u[2] * v[0] - u[0] * v[2], u[0] * v[1] - u[1] * v[0]]
     volume = sum(p * q for p, q in zip(less("a", "o"), cross(less("b", "o"), less("c", "o")))) / 6
     area = F.sqrt(sum(x * x for x in cross(less("b", "a"), less("c", "a")))) / 2
     got = rows.groupBy("mesh", "shell").agg(F.count("*").alias("faces"), F.round(F.sum(volume), 4).alias("volume"), F.round(F.sum(area), 4).alias("area"))
-    return got.join(open_, "shell", "left").select("mesh", "shell", "faces", "volume", "area", ((F.coalesce("open", F.lit(0)) == 0) & (F.col("faces") >= 4)).alias("closed"))
+    return got.join(open_.hint("merge"), "shell", "left").select("mesh", "shell", "faces", "volume", "area", ((F.coalesce("open", F.lit(0)) == 0) & (F.col("faces") >= 4)).alias("closed"))
 
 
 @query("SET08 MTH02", "SELECT l_returnflag, min(lo) AS lo, max(hi) AS hi, min(jlo) AS jlo, max(jhi) AS jhi FROM (SELECT l_returnflag, l_linestatus, l_linenumber, min(l_quantity) - 0.5 AS lo, max(l_quantity) + 0.5 AS hi, min(l_discount) * 100 - 0.5 AS jlo, max(l_discount) * 100 + 0.5 AS jhi FROM lineitem GROUP BY 1, 2, 3) GROUP BY 1")

@@ -6,7 +6,7 @@ import random
 
 import numpy as np
 
-from strataloom.operators import fits, paths, spatial, stats
+from strataloom.operators import fits, graphs, paths, spatial, stats
 from strataloom.plans import registry
 from strataloom.sources.tables import table
 
@@ -144,3 +144,18 @@ def test_similarity_query(spark):
         assert np.allclose([r["kx"], r["ky"], r["kz"], r["shift"]], row, atol=5e-3)
     turn = np.array([[got["rigid", a][k] for k in ("kx", "ky", "kz")] for a in AXES])
     assert np.allclose(turn @ turn.T, np.eye(3), atol=1e-5)
+
+
+def test_shells_are_joined_without_a_broadcast(spark, monkeypatch):
+    """Tables that grow with the faces are never sent whole to the driver, however small their files are."""
+    plans, keep = [], graphs.durable
+
+    def seen(df, label):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return keep(df, label)
+
+    monkeypatch.setattr(graphs, "durable", seen)
+    got = registry.queries()["shell_volumes"](spark, SF)
+    plans.append(got._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) >= 4 and not [p for p in plans if "BroadcastHashJoin" in p]
+    assert got.count() > 0
