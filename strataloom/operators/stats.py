@@ -21,7 +21,9 @@ def percentiles(rows: DataFrame, value: str, shares: dict[str, float], *keys: st
     Rows are counted in cells of value, of which only the ones with the wanted
     ranks are looked at again, cut finer until they are small; those are sorted.
     No task holds the values of a key of more than HELD_ROWS; the result does not
-    depend on that, but for rounding.  Infinite values rank before or behind all
+    depend on that, but for rounding.  Above that, the values are written once:
+    ranks and cells of one scan are looked up in the next, and values that are
+    computed again from sums may differ in their last bits.  Infinite values rank before or behind all
     others and are counted, not cut; between one and a finite value lies an
     infinite one, between both NaN.  Nulls and NaN are left out, as are keys
     without other values.
@@ -32,6 +34,7 @@ def percentiles(rows: DataFrame, value: str, shares: dict[str, float], *keys: st
         got = known.groupBy(*keys).agg(*[F.percentile("v", F.lit(q)).alias(k) for k, q in shares.items()], F.count("*").alias("n"))
         return got.filter("n > 0").drop("n")
     inf = float("inf")
+    written = known = durable(known, "values")
     finite = (F.col("v") > -inf) & (F.col("v") < inf)
     sides = [F.count_if(F.col("v") == -inf).alias("below"), F.count_if(F.col("v") == inf).alias("over")]
     ends = durable(known.groupBy(*keys).agg(F.count("*").alias("n"), *sides, F.min(F.when(finite, F.col("v"))).alias("lo"), F.max(F.when(finite, F.col("v"))).alias("hi")), "ends")
@@ -69,7 +72,8 @@ def percentiles(rows: DataFrame, value: str, shares: dict[str, float], *keys: st
     cut = held.withColumn("upto", F.col("before") + upto).withColumnsRenamed({c: f"r_{c}" for c in span})
     same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"r_{c}")) for c in span])
     found = ranks.drop("c").join(cut, same & (F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("c"))).select(*keys, "rank", "v")
-    found = found.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("rank", "v"))).alias("values"))
+    found = durable(found.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("rank", "v"))).alias("values")), "found")
+    discard(written, *made)
     at = lambda q: (F.col("n") - 1) * F.lit(q)
     value_at = lambda place: F.when(place < F.col("below"), -inf).when(place >= F.col("n") - F.col("over"), inf).otherwise(F.try_element_at("values", place.cast("long")))
 

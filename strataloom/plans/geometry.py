@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from strataloom.operators import fits, graphs, paths, spatial, stats
 from strataloom.plans.registry import query
+from strataloom.session import durable
 from strataloom.sources.tables import table
 
 AXES = ["x", "y", "z"]
@@ -46,9 +47,9 @@ def plane_fit(spark, sf_dir):
         return s.select("g", f"n{tag}", f"ky{tag}", f"kz{tag}", (F.col("md") - F.col(f"ky{tag}") * F.col("my") - F.col(f"kz{tag}") * F.col("mz")).alias(f"k0{tag}"))
 
     rows = _lines(spark, sf_dir).select("g", "d", "x", "y")
-    first = fit(rows, "1")
+    first = durable(fit(rows, "1"), "plane")  # a row a group: sums made again may differ in their last bits
     left = rows.join(first, "g").withColumn("r", F.col("d") - F.col("ky1") * F.col("y") - F.col("kz1") * F.col("x") - F.col("k01"))
-    middle = stats.percentiles(left, "r", {"m": 0.5}, "g")
+    middle = durable(stats.percentiles(left, "r", {"m": 0.5}, "g"), "middle")
     away = left.join(middle, "g").withColumn("away", F.abs(F.col("r") - F.col("m")))
     spread = stats.percentiles(away, "away", {"mad": 0.5}, "g")
     second = fit(away.join(spread, "g").filter(F.col("away") <= F.greatest(1.5 * F.col("mad"), F.lit(0.5))).select("g", "d", "x", "y"), "2")

@@ -5,6 +5,8 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
+import pytest
 
 from strataloom.operators import fits, graphs, paths, spatial, stats
 from strataloom.plans import registry
@@ -159,3 +161,22 @@ def test_shells_are_joined_without_a_broadcast(spark, monkeypatch):
     plans.append(got._jdf.queryExecution().executedPlan().toString())
     assert len(plans) >= 4 and not [p for p in plans if "BroadcastHashJoin" in p]
     assert got.count() > 0
+
+
+def test_percentiles_of_values_that_differ_in_their_last_bits(spark, monkeypatch):
+    """Sums are not added in one order each time they are made: every scan has to see the same values."""
+
+    def shaken(batches):
+        for b in batches:
+            v = b.column("v").to_numpy(zero_copy_only=False)
+            yield pa.record_batch([b.column("g"), pa.array(v * (1 + np.random.default_rng().integers(-3, 4) * 2.0**-52))], ["g", "v"])
+
+    rng = np.random.default_rng(5)
+    values = {g: np.repeat(rng.normal(size=300) * 7, 6) for g in ("F", "O")}  # six copies of each
+    rows = spark.createDataFrame([(g, float(x)) for g, v in values.items() for x in v], "g string, v double").repartition(4).mapInArrow(shaken, "g string, v double")
+    monkeypatch.setattr(stats, "HELD_ROWS", 100)
+    monkeypatch.setattr(stats, "SORTED_ROWS", 20)
+    monkeypatch.setattr(stats, "CELLS", 8)
+    for q in (0.5, 0.25):
+        got = {r["g"]: r["q"] for r in stats.percentiles(rows, "v", {"q": q}, "g").collect()}
+        assert got == {g: pytest.approx(np.percentile(v, 100 * q), rel=1e-12) for g, v in values.items()}
