@@ -10,17 +10,20 @@ bounds how far its points have to look, and boxes beyond that are left out.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strataloom.session import discard, durable, ship
 
 #: Rows of a block, cells along each axis (a power of two), how much narrower each level of the tree is (in bits), and nodes of the top one.
 BLOCK, CELLS, FAN, TOP = 128, 64, 4, 256
+#: Pairs of blocks that a Python worker is sent at a time (each some 8 kB), and rows it sends back at a time.
+PAIRS, FOUND = 256, 65_536
 #: Room for rounding in comparisons of bounds.
 SLACK = 1 + 1e-9
 
@@ -67,6 +70,18 @@ def _blocks(rows: DataFrame, id_: str, axes: list[str], splits: list[np.ndarray]
     return durable(dealt.mapInArrow(cut, f"part long, no long, ids array<{kind}>, low array<double>, high array<double>, points binary"), label)
 
 
+@contextmanager
+def _batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Python workers are sent at most so many rows at a time by what is written inside."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def _bounds(p: str, r: str) -> tuple[Column, Column]:
     """Squares of the least and the greatest distance between the boxes p_low..p_high and r_low..r_high."""
     minus = lambda a, b: F.zip_with(a, b, lambda x, y: x - y)
@@ -76,9 +91,12 @@ def _bounds(p: str, r: str) -> tuple[Column, Column]:
 
 
 def _compared(axes: int):
+    def made(keys: list, refs: list, far: list) -> pa.RecordBatch:
+        return pa.record_batch([pa.concat_arrays(keys), pa.concat_arrays(refs), pa.array(np.concatenate(far))], ["key", "ref", "distance"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, refs, far = [], [], []
+            keys, refs, far, held = [], [], [], 0
             for mine, theirs, x, y, most in zip(*(batch.column(c) for c in ("ids", "r_ids", "points", "r_points", "far"))):
                 a, b = (np.frombuffer(v.as_buffer(), np.float64).reshape(-1, axes) for v in (x, y))
                 d2 = ((a[:, None] - b[None]) ** 2).sum(axis=2)
@@ -87,8 +105,12 @@ def _compared(axes: int):
                 keys.append(mine.values.take(pa.array(i)))
                 refs.append(theirs.values.take(pa.array(j)))
                 far.append(np.sqrt(d2[i, j]))
+                held += len(i)
+                if held >= FOUND:
+                    yield made(keys, refs, far)
+                    keys, refs, far, held = [], [], [], 0
             if keys:
-                yield pa.record_batch([pa.concat_arrays(keys), pa.concat_arrays(refs), pa.array(np.concatenate(far))], ["key", "ref", "distance"])
+                yield made(keys, refs, far)
 
     return run
 
@@ -99,7 +121,8 @@ def nearest(points: DataFrame, refs: DataFrame, key: str, ref: str, axes: list[s
     Points and refs with a null or a number that is not finite are left out;
     without refs there are no rows; of rows with one key the nearest counts.  A
     block holds BLOCK rows at most, in a dense place as in an empty one, and one
-    far point widens one block and no other.
+    far point widens one block and no other.  A worker holds PAIRS pairs of blocks
+    and about FOUND results at a time, whatever the rows.
     """
     spark = points.sparkSession
     ship(spark)
@@ -132,6 +155,7 @@ def nearest(points: DataFrame, refs: DataFrame, key: str, ref: str, axes: list[s
     held = theirs.select(node.alias("node"), F.col("ids").alias("r_ids"), F.col("points").alias("r_points"))
     pairs = near.select("part", "no", "node", "far").join(mine.select("part", "no", "ids", "points"), ["part", "no"]).join(held, "node")
     met = pairs.select("ids", "r_ids", "points", "r_points", "far").mapInArrow(_compared(len(axes)), f"key {types[0]}, ref {types[1]}, distance double")
-    best = durable(met.groupBy("key").agg(F.min(F.struct("distance", "ref")).alias("m")).select(F.col("key").alias(key), F.col("m.ref").alias(ref), F.col("m.distance").alias("distance")), "nearest")
+    with _batches(spark, PAIRS):
+        best = durable(met.groupBy("key").agg(F.min(F.struct("distance", "ref")).alias("m")).select(F.col("key").alias(key), F.col("m.ref").alias(ref), F.col("m.distance").alias("distance")), "nearest")
     discard(mine, theirs, *made)
     return best

@@ -200,3 +200,17 @@ def test_welded_writes_no_pair_of_points(spark, monkeypatch):
                 seen.add(j)
                 queue.append(j)
     assert all(got[i + 1500 * k] == (0, 3 * len(seen)) for i in seen for k in range(3))
+
+
+def test_nearest_holds_few_pairs_at_a_time(monkeypatch):
+    """What a worker sends back at once does not grow with the pairs of blocks it was sent."""
+    import pyarrow as pa
+
+    points = np.random.default_rng(1).random((64, 8, 3))
+    ids = pa.array([list(range(8 * i, 8 * i + 8)) for i in range(64)])
+    blobs = pa.array([p.tobytes() for p in points], pa.binary())
+    batch = pa.record_batch([ids, ids, blobs, blobs, pa.array(np.full(64, 9.0))], ["ids", "r_ids", "points", "r_points", "far"])
+    monkeypatch.setattr(nearest, "FOUND", 32)
+    made = list(nearest._compared(3)(iter([batch])))
+    assert max(b.num_rows for b in made) <= 32 + 8 and [k for b in made for k in b.column("key").to_pylist()] == list(range(512))
+    assert all(d == 0 for b in made for d in b.column("distance").to_pylist())
