@@ -170,3 +170,23 @@ def test_as_of_one_busy_place(spark):
     assert got == want
     assert spatial.as_of(left, right.limit(0), "t", "s", ["v"], 7).count() == 0
     assert spatial.as_of(left.limit(0), right, "t", "s", ["v"], 7).count() == 0
+
+
+def test_composite_fk_in_tasks_of_bounded_rows(spark, tmp_path, monkeypatch):
+    """Nulls, copies and the smallest number as in the SQL; a table five times as large gives more tasks, not larger ones."""
+    import random
+
+    monkeypatch.setattr(checks, "TASK_ROWS", 400, raising=False)
+    largest = []
+    for n in (1_000, 5_000):
+        rng, folder = random.Random(n), tmp_path / str(n)
+        odd = [(None, 1), (None, 2), (None, None), (3, None), (3, None), (-1, -(2**31)), (-1, 1 - 2**31), (-2, -(2**31))] + [(-3, i % 3) for i in range(60)]
+        lines = odd + [(rng.randrange(n // 4), rng.randrange(1, 8)) for _ in range(n)]
+        spark.createDataFrame(lines, "l_orderkey long, l_linenumber int").write.parquet(str(folder / "lineitem.parquet"))
+        q = registry.found()["composite_fk"]
+        got = q.run(spark, str(folder))
+        con = duckdb.connect()
+        con.execute(f"create view lineitem as select * from '{folder}/lineitem.parquet/*.parquet'")
+        assert in_order([tuple(r) for r in got.collect()]) == in_order(con.execute(q.sql).fetchall())
+        largest.append(max(r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()))
+    assert largest[1] < 1.5 * largest[0] and largest[1] < 400
