@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataloom.operators import spatial, stats
+from strataloom.operators import nearest, spatial, stats
 from strataloom.session import discard, durable
 
 
@@ -53,17 +53,22 @@ def icp(points: DataFrame, refs: DataFrame, key: str, ref: str, axes: list[str],
     """Fit points to refs by turns: nearest refs, the ``trim`` share of smallest distance, a similarity fit.
 
     Returns the matrix and the root mean square of the trimmed distances under
-    it.  The limit is the linear percentile.  Each round is written and the one
-    before it goes.
+    it.  The limit is the linear percentile.  Points and the index of refs are
+    written once; each round is written and the one before it goes.
     """
     matrix = np.column_stack([np.eye(len(axes)), np.zeros(len(axes))])
     names, target = [f"m_{a}" for a in axes], [f"t_{a}" for a in axes]
+    points, refs = durable(points, "moving"), durable(refs, "fixed")
     known = refs.select(F.col(ref), *[F.col(a).alias(t) for a, t in zip(axes, target)])
+    fixed = nearest.index(refs, ref, axes)
 
     def met() -> DataFrame:
-        at = moved(points, axes, matrix, names)
-        near = spatial.nearest(at.select(key, *[F.col(m).alias(a) for m, a in zip(names, axes)]), refs, key, ref, axes)
-        return durable(near.join(known, ref).join(points, key), "icp")
+        at = moved(points, axes, matrix, names).select(key, *[F.col(m).alias(a) for m, a in zip(names, axes)])
+        near = nearest.search(fixed, at, key) if fixed else nearest.nearest(at, refs, key, ref, axes)
+        now = durable(near.join(known, ref).join(points, key), "icp")
+        if fixed:
+            discard(near)
+        return now
 
     for _ in range(rounds):
         now = met()
@@ -78,5 +83,5 @@ def icp(points: DataFrame, refs: DataFrame, key: str, ref: str, axes: list[str],
     below = F.col("distance") < F.lit(last)
     held, total = now.agg(F.count_if(below), F.coalesce(F.sum(F.when(below, F.col("distance") ** 2)), F.lit(0.0))).first()
     least = math.sqrt((total + (n - held) * last**2) / n) if n else None
-    discard(now)
+    discard(now, points, refs, *([fixed.blocks] if fixed else []))
     return matrix, least

@@ -180,3 +180,18 @@ def test_percentiles_of_values_that_differ_in_their_last_bits(spark, monkeypatch
     for q in (0.5, 0.25):
         got = {r["g"]: r["q"] for r in stats.percentiles(rows, "v", {"q": q}, "g").collect()}
         assert got == {g: pytest.approx(np.percentile(v, 100 * q), rel=1e-12) for g, v in values.items()}
+
+
+def test_icp_puts_references_in_blocks_once(spark, monkeypatch):
+    """Points move from round to round, references do not."""
+    from strataloom.operators import nearest
+
+    labels, keep = [], nearest.durable
+
+    def seen(df, label):
+        labels.append(label)
+        return keep(df, label)
+
+    monkeypatch.setattr(nearest, "durable", seen)
+    registry.queries()["icp_fit"](spark, SF)
+    assert labels.count("refs") == 1 and labels.count("points") == 4

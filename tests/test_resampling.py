@@ -214,3 +214,60 @@ def test_nearest_holds_few_pairs_at_a_time(monkeypatch):
     made = list(nearest._compared(3)(iter([batch])))
     assert max(b.num_rows for b in made) <= 32 + 8 and [k for b in made for k in b.column("key").to_pylist()] == list(range(512))
     assert all(d == 0 for b in made for d in b.column("distance").to_pylist())
+
+
+def test_copies_of_references_are_met_once(spark, monkeypatch):
+    """However many references lie at one place, a block of points meets one of them and a point gets one result of a pair of blocks."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    refs, asked = rng.random((40, 3)), rng.random((60, 3))
+    written, keep = {}, nearest.durable
+
+    def seen(df, label):
+        table = keep(df, label)
+        written.setdefault(label, []).append(table)
+        return table
+
+    monkeypatch.setattr(nearest, "durable", seen)
+    monkeypatch.setattr(nearest, "discard", lambda *tables: None)
+    got = {r["k"]: r["r"] for r in spatial.nearest(cloud(spark, np.repeat(asked, 3, axis=0), "k"), cloud(spark, np.tile(refs, (30, 1))[::-1], "r"), "k", "r", ["x", "y", "z"]).collect()}
+    nearby = [int(((refs - p) ** 2).sum(1).argmin()) for p in asked]
+    assert got == {k: 39 - nearby[k // 3] for k in range(180)}
+    assert sum(len(r["ids"]) for r in written["refs"][0].collect()) == 40
+    tied = [pa.array([[5, 6]]), pa.array([list(range(9))]), pa.array([np.zeros((2, 3)).tobytes()], pa.binary()), pa.array([np.ones((9, 3)).tobytes()], pa.binary()), pa.array([9.0])]
+    made = list(nearest._compared(3)(iter([pa.record_batch(tied, ["ids", "r_ids", "points", "r_points", "far"])])))
+    assert [(k, r) for b in made for k, r in zip(b.column("key").to_pylist(), b.column("ref").to_pylist())] == [(5, 0), (6, 0)]
+
+
+def test_blocks_that_are_too_far_are_not_compared(spark, monkeypatch, tmp_path):
+    """Boxes alone leave many pairs of blocks open; what the nearest of them give leaves few to be compared."""
+    rng = np.random.default_rng(3)
+    refs, asked = rng.normal(size=(4000, 3)), rng.normal(size=(4000, 3))
+    monkeypatch.setattr(nearest, "BLOCK", 16)
+    pairs, keep, compared, path = [], nearest.durable, nearest._compared, str(tmp_path / "pairs")
+
+    def counted(df, label):
+        table = keep(df, label)
+        if label == "near":
+            pairs.append(table.count())
+        return table
+
+    def seen(*args):
+        run = compared(*args)
+
+        def counting(batches):
+            for batch in batches:
+                with open(path, "a") as out:
+                    out.write(f"{batch.num_rows}\n")
+                yield from run(iter([batch]))
+
+        return counting
+
+    monkeypatch.setattr(nearest, "durable", counted)
+    monkeypatch.setattr(nearest, "_compared", seen)
+    got = {r["k"]: (r["r"], r["distance"]) for r in spatial.nearest(cloud(spark, asked, "k"), cloud(spark, refs, "r"), "k", "r", ["x", "y", "z"]).collect()}
+    for i, p in enumerate(asked):
+        d = ((refs - p) ** 2).sum(1)
+        assert got[i] == (int(d.argmin()), pytest.approx(math.sqrt(d.min()), abs=1e-9))
+    assert sum(map(int, open(path))) < 0.5 * pairs[-1]
